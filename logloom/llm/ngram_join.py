@@ -10,7 +10,8 @@ intersection has at least three quarters of the union's size.
    of the two counts is sent. Frequent shingles come last, so a passage that many documents share doesn't bring
    them together. The list of frequent shingles has a fixed greatest length; it only sets the order, so it can't cost a link.
 3. The keys that share such a shingle are a list. First each key is compared with the key that is the least one of most
-   of its lists; the links give first components. Lists inside one component have nothing more to tell.
+   of its lists; the links give first components. Lists inside one component have nothing more to tell. In two further
+   rounds a few members of components that share lists are compared, so that a large group becomes one component early.
 4. In every other list the keys' signatures (bitmaps of their shingles) are put in a tree ordered by size, whose nodes
    hold the bitmaps' union and the range of sizes. A traversal of the tree with itself drops pairs of nodes whose
    greatest possible overlap is too small, whose sizes differ too much, or that are one component. Long lists are dealt
@@ -33,7 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, materialize, merged, mix, shingle_sets
@@ -47,6 +48,8 @@ GROUP_BYTES = 16 << 20
 #: Shingles of a bucket, keys of a block of a list, partners of a key in one task.
 BUCKET, BLOCK, PARTNERS = 1_000_000, 2_048, 256
 LEAF, FAN = 16, 4
+#: Rounds of comparing members of components that share lists, and pairs of members for two components in each.
+ROUNDS, TRIALS = 2, 4
 
 _ENTRY = np.dtype([("h", "<u8"), ("key", "<i8"), ("n", "<u4")])
 
@@ -190,8 +193,8 @@ def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of a set: a power of two of bits, four times its size at least (64 to 131072); bit hash mod width."""
-    width = min(1 << 17, max(64, 1 << (4 * len(s) - 1).bit_length()))
+    """A bitmap of a set: a power of two of bits, eight times its size at least (64 to 524288); bit hash mod width."""
+    width = min(1 << 19, max(64, 1 << (8 * len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -371,25 +374,52 @@ def classes(documents: DataFrame, certainty: int | None = CERTAINTY) -> tuple[Da
     stars = lists.where("key <> center").groupBy("key", "center").agg(F.sum("weight").alias("w")).groupBy("key").agg(F.max(F.struct("w", (-F.col("center")).alias("c"))).alias("best"))
     n_parts = max(1, n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = materialize(_links(stars.select((-F.col("best.c")).alias("a"), F.col("key").alias("b")), texts, n_parts), "first-links")
-    label = connected_components(first)
-
-    members = lists.select("list", "key", "n").distinct().join(label, F.col("key") == F.col("node"), "left").select("list", "key", "n", F.coalesce("label", "key").alias("label"))
-    members = materialize(members, "list-members")
-    sizes = members.groupBy("list").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("list", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_rows = materialize(members.join(sizes, "list"), "open-lists")
+    labels = _merged(wanted.withColumn("label", F.col("key")), first)
+    members = _open(lists.select("list", "key", "n").distinct(), labels)
+    for trial in range(ROUNDS):
+        labels = _merged(labels, materialize(_links(_trials(members, trial), texts, n_parts), "trial-links"))
+        members = _open(members.drop("label"), labels)
 
     def signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, own in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([signature(s) for s in shingle_sets(own)], pa.binary())], names=["key", "signature"])
 
-    signed = texts.join(open_rows.select("key").distinct(), "key", "left_semi").mapInArrow(signatures, "key long, signature binary")
+    signed = texts.join(members.select("key").distinct(), "key", "left_semi").mapInArrow(signatures, "key long, signature binary")
+    sizes = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = open_rows.withColumn("block", block).withColumn("other", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    dealt = members.join(sizes, "list").withColumn("block", block).withColumn("other", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
     dealt = dealt.join(signed, "key").select("list", "x", "y", "block", "key", "n", "label", "signature")
     pairs = dealt.repartition(n_parts, "list", "x", "y").sortWithinPartitions("list", "x", "y").mapInArrow(_traversals, "a long, b long").distinct()
-    second = _links(materialize(pairs, "tree-pairs"), texts, n_parts)
-    return docs, connected_components(first.unionByName(second))
+    labels = _merged(labels, materialize(_links(materialize(pairs, "tree-pairs"), texts, n_parts), "tree-links"))
+    return docs, labels.where("key <> label").unionByName(labels.where("key <> label").select(F.col("label").alias("key"), "label").distinct()).withColumnRenamed("key", "node")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, label) after the links (a, b) between keys have joined their components."""
+    of = lambda c: labels.select(F.col("key").alias(f"k{c}"), F.col("label").alias(f"l{c}"))
+    edges = links.join(of("a"), F.col("a") == F.col("ka")).join(of("b"), F.col("b") == F.col("kb")).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    found = connected_components(edges).withColumnRenamed("label", "root")
+    return materialize(labels.join(found, F.col("label") == F.col("node"), "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(list, key, n, label) of the lists that hold several components."""
+    rows = members.join(labels, "key")
+    several = rows.groupBy("list").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("list")
+    return materialize(rows.join(several, "list", "left_semi").select("list", "key", "n", "label"), "open-lists")
+
+
+def _trials(members: DataFrame, trial: int) -> DataFrame:
+    """Pairs (a, b) to compare before the trees are: in each list a member of the largest component with one of each other
+    component, and for any two components ``TRIALS`` of these pairs. Their links spare the trees most pairs of one group."""
+    own = F.struct(F.xxhash64("key", "list", F.lit(trial)).alias("h"), "key", "n")
+    reps = members.groupBy("list", "label").agg(F.min(own).alias("rep"), F.count("*").alias("size"))
+    center = reps.groupBy("list").agg(F.max(F.struct("size", F.col("label").alias("l"), F.col("rep.key").alias("a"), F.col("rep.n").alias("m"))).alias("c"))
+    met = reps.join(center, "list").where((F.col("label") != F.col("c.l")) & (F.col("rep.n") * 4 >= F.col("c.m") * 3) & (F.col("c.m") * 4 >= F.col("rep.n") * 3))
+    pairs = met.select(F.col("c.l").alias("l"), "label", F.col("c.a").alias("a"), F.col("rep.key").alias("b")).distinct()
+    order = Window.partitionBy("l", "label").orderBy(F.xxhash64("a", "b", F.lit(trial)))
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TRIALS).select("a", "b").distinct()
 
 
 def join_documents(documents: DataFrame, certainty: int | None = CERTAINTY) -> DataFrame:

@@ -18,6 +18,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -70,4 +76,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_packing, op4_decontamination, op5_chat_formatting, op6_quality_rules, op8_language_id, op9_substring_dedup, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_packing, op4_decontamination, op5_chat_formatting, op6_quality_rules, op7_quality_classifier, op8_language_id, op9_substring_dedup, op10_token_output)}

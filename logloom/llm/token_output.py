@@ -1,9 +1,9 @@
 """Token ids in binary files: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
-A file is a sequence of blocks. A block holds whole documents: a fixed header, the documents' ids and lengths, control
-bytes (two bits for each id: its number of bytes less one, four ids a byte) and the data bytes. What is coded is an
-id's rank by frequency over the corpus, so that the most frequent 256 ids take one byte. The table of ranks is a file
-beside the shards. Blocks are decoded by numpy: a table gives the four lengths of each control byte.
+A shard file holds a table of its ids by falling frequency, then a sequence of blocks. A block holds whole documents: a
+fixed header, the documents' ids and lengths, control bytes (two bits for each id: its number of bytes less one, four
+ids a byte) and the data bytes. What is coded is an id's rank in the table, so that a shard's most frequent 256 ids take
+one byte. Blocks are decoded by numpy: a table gives the four lengths of each control byte. Every text is encoded once.
 
 Tasks write under names of their own (a retried or speculative task writes another file) and report them; only files
 that the written manifest names are part of the output, so lost executors leave no half-written data in it.
@@ -29,9 +29,12 @@ from .common import materialize, new_path
 from .tokens import default_vocabulary, encoder
 
 MAGIC = b"LOOMTOK1"
+_TABLE = struct.Struct("<I")  # ids in the table
 _HEAD = struct.Struct("<QQQ")  # documents, ids, data bytes
-#: Ids of a block, after which it is closed.
-BLOCK_IDS = 1 << 18
+#: Ids of a block and of a shard, after which they are closed.
+BLOCK_IDS, SHARD_IDS = 1 << 18, 12 << 20
+#: Bytes of text for each range of documents that a task writes.
+RANGE_BYTES = 24 << 20
 
 #: For each control byte the lengths of its four ids.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
@@ -71,10 +74,31 @@ def encode_block(doc_ids: list[int | None], ids: list[bytes], rank_of: np.ndarra
     return b"".join((_HEAD.pack(len(ids), len(flat), len(data)), has.tobytes(), keys.tobytes(), counts.tobytes(), control, data))
 
 
-def read_blocks(f, id_of: np.ndarray) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+def write_shard(f, doc_ids: list[int | None], ids: list[bytes]) -> int:
+    """Write a whole shard to an open file; the number of its ids."""
+    n_of = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+    found = np.flatnonzero(n_of)
+    id_of = found[np.argsort(-n_of[found], kind="stable")].astype("<u4")
+    rank_of = np.zeros(len(n_of), np.uint32)
+    rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
+    f.write(MAGIC + _TABLE.pack(len(id_of)) + id_of.tobytes())
+    at = 0
+    while at < len(ids):
+        end, size = at, 0
+        while end < len(ids) and (end == at or size < BLOCK_IDS):
+            size += len(ids[end]) // 4
+            end += 1
+        f.write(encode_block(doc_ids[at:end], ids[at:end], rank_of))
+        at = end
+    return int(n_of.sum())
+
+
+def read_shard(f) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """Of each block of an open file: doc_ids, numbers of ids, and all ids."""
     if f.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
+    (size,) = _TABLE.unpack(f.read(_TABLE.size))
+    id_of = np.frombuffer(f.read(4 * size), "<u4")
     while head := f.read(_HEAD.size):
         docs, n, size = _HEAD.unpack(head)
         has = np.frombuffer(f.read(docs), np.uint8)
@@ -91,82 +115,53 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def id_counts(documents: DataFrame, vocabulary: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all documents. Each task sends one row per id at most; the vocabulary bounds the result."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        n = np.zeros(enc.size, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                texts = b.column(0).slice(at, 512).to_pylist()
-                n += np.bincount(np.frombuffer(b"".join(enc.encode(texts)), "<u4"), minlength=enc.size)
-                n[end_id] += len(texts)
-        found = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n[found])], names=["id", "n"])
-
-    table = documents.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(encoder(vocabulary).size, np.int64)
-    out[table.column("id").to_numpy()] = table.column("n").to_numpy()
-    return out
-
-
-def write_tokens(documents: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 0, ids_per_shard: int = 8_000_000) -> DataFrame:
-    """Write all documents (doc_id, text) in ascending doc_id order; the manifest: shard, file, n_docs, n_ids, start."""
+def write_tokens(documents: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+    """Write all documents (doc_id, text) in ascending doc_id order; the manifest: part, shard, file, n_docs, n_ids, start."""
     spark = documents.sparkSession
     vocabulary = vocabulary or default_vocabulary()
-    counts = id_counts(documents, vocabulary, end_id)
-    id_of = np.lexsort((np.arange(len(counts)), -counts)).astype("<u4")
-    rank_of = np.empty_like(id_of)
-    rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
     filesystem, root = open_fs(path)
     filesystem.create_dir(root, recursive=True)
-    with filesystem.open_output_stream(f"{root}/ranks.bin") as f:
-        f.write(id_of.tobytes())
-    shards = max(1, -(-int(counts.sum()) // ids_per_shard))
-    table = spark.sparkContext.broadcast(rank_of)
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, ranks = encoder(vocabulary), table.value
+        enc = encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         out_fs, out_root = open_fs(path)
-        shard = TaskContext.get().partitionId()
-        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
-        f, n_docs, n_ids, size = None, 0, 0, 0
+        part, shard, n = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         held: list[bytes] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal shard, n
+            name = f"tokens-{part:06d}-{shard:04d}-{uuid.uuid4().hex}.bin"
+            with out_fs.open_output_stream(f"{out_root}/{name}") as f:
+                n_ids = write_shard(f, keys, held)
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([n_ids], pa.int64())], names=["part", "shard", "file", "n_docs", "n_ids"])
+            keys.clear(), held.clear()
+            shard, n = shard + 1, 0
+            return row
+
         for b in batches:
             doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for at in range(0, len(texts), 256):
+                ids = [x + end for x in enc.encode(texts[at : at + 256])]
                 keys += doc_ids[at : at + 256]
-                held += (x + end for x in enc.encode(texts[at : at + 256]))
-                size = sum(map(len, held)) // 4
-                if size >= BLOCK_IDS:
-                    if f is None:
-                        f = out_fs.open_output_stream(f"{out_root}/{name}")
-                        f.write(MAGIC)
-                    f.write(encode_block(keys, held, ranks))
-                    n_docs, n_ids = n_docs + len(keys), n_ids + size
-                    keys, held = [], []
+                held += ids
+                n += sum(map(len, ids)) // 4
+                if n >= SHARD_IDS:
+                    yield close()
         if held:
-            if f is None:
-                f = out_fs.open_output_stream(f"{out_root}/{name}")
-                f.write(MAGIC)
-            f.write(encode_block(keys, held, ranks))
-            n_docs, n_ids = n_docs + len(keys), n_ids + sum(map(len, held)) // 4
-        if f is not None:
-            f.close()
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["shard", "file", "n_docs", "n_ids"])
+            yield close()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange(shards, "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    written = materialize(ordered.mapInArrow(run, "shard int, file string, n_docs long, n_ids long"), "manifest")
+    ordered = rows.repartitionByRange(max(1, -(-int(size) // RANGE_BYTES)), "doc_id", tie).sortWithinPartitions("doc_id", tie)
+    written = materialize(ordered.mapInArrow(run, "part int, shard int, file string, n_docs long, n_ids long"), "manifest")
     start, manifest = 0, []
-    for r in sorted(written.collect()):  # one row per file
+    for r in sorted(map(tuple, written.collect())):  # one row per file
         manifest.append((*r, start))
-        start += r["n_ids"]
-    return spark.createDataFrame(manifest, "shard int, file string, n_docs long, n_ids long, start long")
+        start += r[-1]
+    return spark.createDataFrame(manifest, "part int, shard int, file string, n_docs long, n_ids long, start long")
 
 
 def read_tokens(manifest: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -174,14 +169,10 @@ def read_tokens(manifest: DataFrame, path: str, with_ids: bool = False) -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(path)
-        id_of = None
         for b in batches:
             for name, start in zip(b.column("file").to_pylist(), b.column("start").to_pylist(), strict=True):
-                if id_of is None:
-                    with fs.open_input_stream(f"{root}/ranks.bin") as f:
-                        id_of = np.frombuffer(f.read(), "<u4")
                 with fs.open_input_stream(f"{root}/{name}") as f:
-                    for keys, counts, ids in read_blocks(f, id_of):
+                    for keys, counts, ids in read_shard(f):
                         ends = np.cumsum(counts)
                         raw = memoryview(ids.astype("<u4").tobytes())
                         parts = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
