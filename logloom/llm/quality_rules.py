@@ -25,7 +25,7 @@ from .common import WHITE, as_bytes, materialize
 #: Fixed values of the base rules.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SYMBOLS = b"[#*$%&|<>]"
+SYMBOLS = b"#*$%&|<>"
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SCHEMA = ", ".join(f"{x} long" for x in MEASURES)
