@@ -283,11 +283,14 @@ class SignatureTree:
 
 
 def _traversals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of keys of each group (list, x, y): blocks x and y of a list. Rows come ordered by group."""
+    """Pairs of keys of each group (list, x, y): blocks x and y of a list. Rows come ordered by group.
+
+    ``lists`` are all lists of a key; a pair is given by the least list that both keys are in, and by no other.
+    """
 
     def grouped():
         for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in ("list", "x", "y", "block", "key", "n", "label", "signature")), strict=True)
+            yield from zip(*(b.column(c).to_pylist() for c in ("list", "x", "y", "block", "key", "n", "label", "signature", "lists")), strict=True)
 
     def tree(rows):
         return SignatureTree(np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64), np.array([r[6] for r in rows], np.int64), [r[7] for r in rows])
@@ -299,13 +302,15 @@ def _traversals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
-    for (_, x, y), rows in itertools.groupby(grouped(), key=lambda r: r[:3]):
+    for (own, x, y), rows in itertools.groupby(grouped(), key=lambda r: r[:3]):
         rows = list(rows)
+        lists = {r[4]: r[8] for r in rows}
         one = tree([r for r in rows if r[3] == x]) if any(r[3] == x for r in rows) else None
         two = one if x == y else tree([r for r in rows if r[3] == y]) if any(r[3] == y for r in rows) else None
         if one and two:
             for a, b in one.pairs(two):
-                pairs.add((min(a, b), max(a, b)))
+                if min(set(lists[a]).intersection(lists[b])) == own:
+                    pairs.add((min(a, b), max(a, b)))
                 if len(pairs) >= 100_000:
                     yield out()
     if pairs:
@@ -389,7 +394,8 @@ def classes(documents: DataFrame, certainty: int | None = CERTAINTY) -> tuple[Da
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = members.join(sizes, "list").withColumn("block", block).withColumn("other", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    dealt = dealt.join(signed, "key").select("list", "x", "y", "block", "key", "n", "label", "signature")
+    shared = members.groupBy("key").agg(F.collect_list("list").alias("lists"))  # as many as a key sends shingles
+    dealt = dealt.join(signed, "key").join(shared, "key").select("list", "x", "y", "block", "key", "n", "label", "signature", "lists")
     pairs = dealt.repartition(n_parts, "list", "x", "y").sortWithinPartitions("list", "x", "y").mapInArrow(_traversals, "a long, b long").distinct()
     labels = _merged(labels, materialize(_links(materialize(pairs, "tree-pairs"), texts, n_parts), "tree-links"))
     return docs, labels.where("key <> label").unionByName(labels.where("key <> label").select(F.col("label").alias("key"), "label").distinct()).withColumnRenamed("key", "node")
