@@ -28,7 +28,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def encoded(documents: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
-    """Pass one, written to the shared folder: part, place (ids before it in its partition), doc_id, ids."""
+    """Pass one, written to the shared folder: part, place (ids before it in its partition), doc_id, n, ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, place = encoder(vocabulary), TaskContext.get().partitionId(), 0
@@ -40,15 +40,15 @@ def encoded(documents: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 places = place + np.cumsum(n) - n
                 place += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(places), s.column("doc_id"), pa.array(ids, pa.binary())], names=["part", "place", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(places), s.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], names=["part", "place", "doc_id", "n", "ids"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(rows.mapInArrow(run, "part int, place long, doc_id long, ids binary"), "packed-ids")
+    return materialize(rows.mapInArrow(run, "part int, place long, doc_id long, n long, ids binary"), "packed-ids")
 
 
 def bases(ids: DataFrame) -> dict[int, int]:
     """Partition -> ids before it. The driver gets one row for each partition."""
-    totals = ids.groupBy("part").agg(F.sum(F.expr("octet_length(ids) div 4")).alias("n")).collect()
+    totals = ids.groupBy("part").agg(F.sum("n").alias("n")).collect()
     out, at = {}, 0
     for part, n in sorted(map(tuple, totals)):
         out[part] = at
@@ -75,7 +75,7 @@ def cut(ids: DataFrame, length: int = LENGTH, with_ids: bool = False) -> DataFra
             columns = list(zip(*rows, strict=True)) or [()] * (7 + with_ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 7 else pa.binary()) for i, c in enumerate(columns)], names=[x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids)
 
-    return ids.mapInArrow(run, _PIECES + ", ids binary" * with_ids)
+    return ids.select("part", "place", "doc_id", "ids").mapInArrow(run, _PIECES + ", ids binary" * with_ids)
 
 
 def pack(documents: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ import json
 from array import array
 
 #: Pieces that the cache may hold before it is emptied; this only bounds memory.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 #: Texts that the library gets at once.
 CALL = 500
 _MARKS = frozenset(".,;:!?")
@@ -61,7 +61,11 @@ class Encoder(dict):
 
     def _word(self, word: str) -> bytes:
         """Letters alone, or a blank and letters: one pre-token."""
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.table))]).tobytes()
+        if word.isascii():
+            mapped = self.table[32] + word[1:] if word[0] == " " else word
+        else:
+            mapped = word.encode().decode("latin-1").translate(self.table)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes | None:
         """The ids of a piece that wasn't met before; None if it isn't cut at single blanks and line feeds."""
