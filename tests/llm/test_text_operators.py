@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from logloom.llm import decontamination, language_id, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_output
+from logloom.llm import components as components_module
 from logloom.llm.common import new_path
 from logloom.llm.tokens import Encoder, default_vocabulary
 
@@ -87,6 +88,7 @@ def test_ngram_join_with_blocks_and_frequent_shingles(spark, monkeypatch):
         for _ in range(i // 6):
             w[rng.randrange(len(w))] = f"x{rng.randrange(30)}"
         data.append((i, shared + " " + " ".join(w), "en", "s", 0))
+    monkeypatch.setattr(components_module, "SMALL", 0)
     for name, value in (("BLOCK", 7), ("PARTNERS", 3), ("FREQUENT_AT", 3), ("LEAF", 2), ("ROUNDS", 0)):
         monkeypatch.setattr(ngram_join, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(spark.createDataFrame(data, DOCS)).collect()}
