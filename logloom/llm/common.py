@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once (one longer document is handled alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _own_dir: list[str] = []
 
@@ -92,6 +94,20 @@ def merged(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterator
         yield joined()
 
 
+def tidy(run: Callable) -> Callable:
+    """A task's function that hands freed memory back at its end: Python workers live on and serve later stages."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 # --- words as 64-bit hashes, all words of a chunk at once -------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1

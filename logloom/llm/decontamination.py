@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import merged
+from .common import merged, tidy
 
 WIDTH = 10
 #: Suffix positions that are multiples of this are sampled, and those where a run starts.
 SAMPLE = 8
 #: Bytes of documents in one shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Text of the benchmark that is searched at once.
 BLOCK_BYTES = 8 << 20
 
@@ -239,7 +239,7 @@ def find(documents: DataFrame, benchmark: DataFrame, keep: list[str], text: str
                 yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in columns), pa.StructArray.from_arrays(parts, names=["n_words", "spans", "items"])], names=[*columns, name])
 
         types = {f.name: f.dataType.simpleString() for f in fields} | {text: "string"}
-        out = out.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in columns), f"`{name}` {struct}"]))
+        out = out.mapInArrow(tidy(run), ", ".join([*(f"`{c}` {types[c]}" for c in columns), f"`{name}` {struct}"]))
     return out
 
 
@@ -286,4 +286,4 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     out["n_chars"] = pa.array(n, out["n_chars"].type)
             yield pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(tidy(run), schema)

@@ -37,16 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, merged, mix, shingle_sets
+from .common import chunks, materialize, merged, mix, shingle_sets, tidy
 from .components import connected_components
 
 #: Shingles that are ordered last as frequent: at most so many, found so often at least.
 FREQUENT, FREQUENT_AT = 200_000, 64
 CERTAINTY = 45
 #: Bytes of text that a task looks at together.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: Shingles of a bucket, keys of a block of a list, partners of a key in one task.
-BUCKET, BLOCK, PARTNERS = 1_000_000, 2_048, 256
+BUCKET, BLOCK, PARTNERS = 250_000, 2_048, 256
 LEAF, FAN = 16, 4
 #: Rounds of comparing members of components that share lists, and pairs of members for two components in each.
 ROUNDS, TRIALS = 2, 4
@@ -147,7 +147,7 @@ def _send(n_buckets: int, frequent, certainty: int | None):
                 e["h"], e["key"], e["n"] = first, key, n
                 held.append(e)
                 size += len(e)
-            if size >= 500_000:
+            if size >= 300_000:
                 yield from out()
                 size = 0
         if held:
@@ -343,7 +343,7 @@ def _links(pairs: DataFrame, texts: DataFrame, n_parts: int) -> DataFrame:
     centers = count.select(F.col("u").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("u").alias("key"))
     rows = members.unionByName(centers).join(texts.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("a", "part", "key", "text")
     ordered = rows.repartition(n_parts, "a", "part").sortWithinPartitions("a", "part", F.col("key") != F.col("a"))
-    return ordered.mapInArrow(_compare, "a long, b long")
+    return ordered.mapInArrow(tidy(_compare), "a long, b long")
 
 
 def _own_texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
@@ -362,15 +362,15 @@ def classes(documents: DataFrame, certainty: int | None = CERTAINTY) -> tuple[Da
     """(doc_id, key, n) of all rows, and (node, label) of the keys that link with others."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(rows.mapInArrow(_classes, "frequent boolean, doc_id long, key long, n long"), "shingle-classes")
+    found = materialize(rows.mapInArrow(tidy(_classes), "frequent boolean, doc_id long, key long, n long"), "shingle-classes")
     docs = found.where(~F.col("frequent")).select("doc_id", "key", "n")
     often = found.where("frequent").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_AT).orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").toArrow()
     hot = np.sort(often.column("key").to_numpy().astype(np.int64).view(np.uint64))
     total = docs.agg(F.sum(F.least(F.expr("n div 4 + 1"), F.lit(64)))).first()[0] or 0
     n_buckets = max(1, -(-int(total) // BUCKET))
 
-    sent = rows.select("text").where(F.col("text").isNotNull()).mapInArrow(_send(n_buckets, spark.sparkContext.broadcast(hot), certainty), "bucket int, packed binary")
-    lists = materialize(sent.repartition(n_buckets, "bucket").select("packed").mapInArrow(_lists, "list long, key long, n long, center long, weight long"), "shingle-lists")
+    sent = rows.select("text").where(F.col("text").isNotNull()).mapInArrow(tidy(_send(n_buckets, spark.sparkContext.broadcast(hot), certainty)), "bucket int, packed binary")
+    lists = materialize(sent.repartition(n_buckets, "bucket").select("packed").mapInArrow(tidy(_lists), "list long, key long, n long, center long, weight long"), "shingle-lists")
 
     reps = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = lists.select("key").distinct()
@@ -382,23 +382,32 @@ def classes(documents: DataFrame, certainty: int | None = CERTAINTY) -> tuple[Da
     labels = _merged(wanted.withColumn("label", F.col("key")), first)
     members = _open(lists.select("list", "key", "n").distinct(), labels)
     for trial in range(ROUNDS):
+        if members.isEmpty():
+            break
         labels = _merged(labels, materialize(_links(_trials(members, trial), texts, n_parts), "trial-links"))
         members = _open(members.drop("label"), labels)
 
+    if not members.isEmpty():
+        labels = _merged(labels, materialize(_links(materialize(_tree_pairs(members, texts, n_parts), "tree-pairs"), texts, n_parts), "tree-links"))
+    joined = labels.where("key <> label")
+    return docs, joined.unionByName(joined.select(F.col("label").alias("key"), "label").distinct()).withColumnRenamed("key", "node")
+
+
+def _tree_pairs(members: DataFrame, texts: DataFrame, n_parts: int) -> DataFrame:
+    """Pairs (a, b) of keys of different components that may link, from the trees of all lists."""
+
     def signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, own in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([signature(s) for s in shingle_sets(own)], pa.binary())], names=["key", "signature"])
 
-    signed = texts.join(members.select("key").distinct(), "key", "left_semi").mapInArrow(signatures, "key long, signature binary")
+    signed = texts.join(members.select("key").distinct(), "key", "left_semi").mapInArrow(tidy(signatures), "key long, signature binary")
     sizes = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = members.join(sizes, "list").withColumn("block", block).withColumn("other", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
     shared = members.groupBy("key").agg(F.collect_list("list").alias("lists"))  # as many as a key sends shingles
     dealt = dealt.join(signed, "key").join(shared, "key").select("list", "x", "y", "block", "key", "n", "label", "signature", "lists")
-    pairs = dealt.repartition(n_parts, "list", "x", "y").sortWithinPartitions("list", "x", "y").mapInArrow(_traversals, "a long, b long").distinct()
-    labels = _merged(labels, materialize(_links(materialize(pairs, "tree-pairs"), texts, n_parts), "tree-links"))
-    return docs, labels.where("key <> label").unionByName(labels.where("key <> label").select(F.col("label").alias("key"), "label").distinct()).withColumnRenamed("key", "node")
+    return dealt.repartition(n_parts, "list", "x", "y").sortWithinPartitions("list", "x", "y").mapInArrow(tidy(_traversals), "a long, b long").distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:

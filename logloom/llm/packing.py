@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .tokens import default_vocabulary, encoder
 
 LENGTH = 2048
@@ -43,7 +43,7 @@ def encoded(documents: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(places), s.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], names=["part", "place", "doc_id", "n", "ids"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(rows.mapInArrow(run, "part int, place long, doc_id long, n long, ids binary"), "packed-ids")
+    return materialize(rows.mapInArrow(tidy(run), "part int, place long, doc_id long, n long, ids binary"), "packed-ids")
 
 
 def bases(ids: DataFrame) -> dict[int, int]:
@@ -75,7 +75,7 @@ def cut(ids: DataFrame, length: int = LENGTH, with_ids: bool = False) -> DataFra
             columns = list(zip(*rows, strict=True)) or [()] * (7 + with_ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 7 else pa.binary()) for i, c in enumerate(columns)], names=[x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids)
 
-    return ids.select("part", "place", "doc_id", "ids").mapInArrow(run, _PIECES + ", ids binary" * with_ids)
+    return ids.select("part", "place", "doc_id", "ids").mapInArrow(tidy(run), _PIECES + ", ids binary" * with_ids)
 
 
 def pack(documents: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:

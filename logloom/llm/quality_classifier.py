@@ -164,7 +164,7 @@ def _select(data: _Data, sparse: float, rounds: int) -> np.ndarray:
     return words
 
 
-def fit(rated: DataFrame, sample: int = 6_000) -> Ordinal:
+def fit(rated: DataFrame, sample: int = 10_000) -> Ordinal:
     """The model from rated rows (doc_id, text, grade). The sample bounds what the driver gets."""
     rated = rated.select("doc_id", "text", F.col("grade").cast("int").alias("grade")).where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull())
     total = rated.count()
@@ -184,7 +184,7 @@ def fit(rated: DataFrame, sample: int = 6_000) -> Ordinal:
     return Ordinal(grades).fit(parts, np.array([grades.index(x) for x in given], np.int64))
 
 
-def predict(documents: DataFrame, model: Ordinal, wanted: int, limit: float = 0.5) -> DataFrame:
+def predict(documents: DataFrame, model: Ordinal, wanted: int, limit: float = 0.4) -> DataFrame:
     """doc_id, expected_grade, tail (probability of at least the grade ``wanted``) and selected, of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

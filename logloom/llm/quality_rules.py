@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, as_bytes, materialize
+from .common import WHITE, as_bytes, materialize, tidy
 
 #: Fixed values of the base rules.
 MIN_WORDS = 50
@@ -71,7 +71,7 @@ def with_measures(documents: DataFrame, keep: list[str], text: str = "text", nam
                 columns = [pa.array(x, pa.int64()) for x in rows] if rows else [pa.array([], pa.int64()) for _ in MEASURES]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(x)) for x in keep), pa.StructArray.from_arrays(columns, fields=list(kind))], names=[*keep, name])
 
-    return documents.select(*carried).mapInArrow(run, schema)
+    return documents.select(*carried).mapInArrow(tidy(run), schema)
 
 
 def base_failed(m: Column) -> Column:

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, _power, ALNUM, Words, chunks, materialize, mix
+from .common import _INVERSE, _power, ALNUM, Words, chunks, materialize, mix, tidy
 
 LEAST, RUN = 12, 25
 #: Bytes of text for each bucket of digests.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes of text whose digests a task gathers before it sends them.
-SEND_BYTES = 16 << 20
+SEND_BYTES = 8 << 20
 _NO_ID = np.iinfo(np.int64).max
 #: A digest's occurrence: 96 bits of digest, document (id and hash of its text), first word.
 ENTRY = np.dtype([("a", "<u8"), ("doc", "<i8"), ("b", "<u4"), ("hash", "<u4"), ("word", "<u4")])
@@ -156,9 +156,9 @@ def marked(documents: DataFrame, least: int = LEAST) -> DataFrame:
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // BUCKET_BYTES))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("hash")).where(F.col("text").isNotNull())
-    local = materialize(rows.mapInArrow(_local(n, least), _ROWS), "unit-digests")
+    local = materialize(rows.mapInArrow(tidy(_local(n, least)), _ROWS), "unit-digests")
     spread = local.where(F.col("bucket").isNotNull()).select("bucket", "packed").repartition(n, "bucket").select("packed")
-    found = spread.mapInArrow(_grouped, "doc_id long, hash long, packed binary")
+    found = spread.mapInArrow(tidy(_grouped), "doc_id long, hash long, packed binary")
     return local.where(F.col("bucket").isNull()).select("doc_id", "hash", "packed").unionByName(found).groupBy("doc_id", "hash").agg(F.collect_list("packed").alias("marks"))
 
 
@@ -209,4 +209,4 @@ def dedup(documents: DataFrame, least: int = LEAST, run: int = RUN, removed: str
                 out["n_chars"] = pa.array(n_chars, out["n_chars"].type)
             yield pa.RecordBatch.from_arrays([*(out[c] for c in columns), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[*columns, removed])
 
-    return joined.mapInArrow(apply, schema)
+    return joined.mapInArrow(tidy(apply), schema)

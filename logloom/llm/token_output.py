@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import materialize, new_path, tidy
 from .tokens import default_vocabulary, encoder
 
 MAGIC = b"LOOMTOK1"
@@ -156,7 +156,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str | None = None,
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(max(1, -(-int(size) // RANGE_BYTES)), "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    written = materialize(ordered.mapInArrow(run, "part int, shard int, file string, n_docs long, n_ids long"), "manifest")
+    written = materialize(ordered.mapInArrow(tidy(run), "part int, shard int, file string, n_docs long, n_ids long"), "manifest")
     start, manifest = 0, []
     for r in sorted(map(tuple, written.collect())):  # one row per file
         manifest.append((*r, start))

@@ -13,7 +13,7 @@ import json
 from array import array
 
 #: Pieces that the cache may hold before it is emptied; this only bounds memory.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 700_000
 #: Texts that the library gets at once.
 CALL = 500
 _MARKS = frozenset(".,;:!?")
