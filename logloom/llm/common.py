@@ -62,7 +62,7 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``limit`` bytes of text each, and the texts as bytes."""
-    for batch in batches:
+    for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
         texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < len(texts):

@@ -289,7 +289,7 @@ def _traversals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
 
     def grouped():
-        for b in batches:
+        for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             yield from zip(*(b.column(c).to_pylist() for c in ("list", "x", "y", "block", "key", "n", "label", "signature", "lists")), strict=True)
 
     def tree(rows):

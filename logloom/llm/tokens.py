@@ -13,7 +13,7 @@ import json
 from array import array
 
 #: Pieces that the cache may hold before it is emptied; this only bounds memory.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 600_000
 #: Texts that the library gets at once.
 CALL = 500
 _MARKS = frozenset(".,;:!?")
@@ -47,9 +47,10 @@ class Encoder(dict):
         self.cut = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.table = "".join(_letters_of_bytes())
+        self.blank = self.table[32]
         self.marks = dict(zip(sorted(_MARKS), self._library(sorted(_MARKS)), strict=True))
         self.line_feed = self._library(["\n"])[0]
 
@@ -59,30 +60,29 @@ class Encoder(dict):
             out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)]
         return out
 
-    def _word(self, word: str) -> bytes:
-        """Letters alone, or a blank and letters: one pre-token."""
-        if word.isascii():
-            mapped = self.table[32] + word[1:] if word[0] == " " else word
-        else:
-            mapped = word.encode().decode("latin-1").translate(self.table)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+    def _word(self, word: str, blank: str) -> bytes:
+        """Letters after ``blank`` (the blank's own character, or nothing): one pre-token."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+        return array("I", [t.id for t in self.tokenize(blank + mapped)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes | None:
         """The ids of a piece that wasn't met before; None if it isn't cut at single blanks and line feeds."""
-        if piece[:1] == "\n":
+        if piece.isalpha():
+            ids = self._word(piece, self.blank)
+        elif piece[:1] == "\n":
             ids = self[_FIRST + piece[1:]]
             ids = None if ids is None else self.line_feed + ids
+        elif piece[-1:] in _MARKS and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self.marks[piece[-1]]
         else:
-            word = piece[1:] if piece[:1] == _FIRST else " " + piece
-            core = piece[1:] if piece[:1] == _FIRST else piece
-            if core.isalpha():
-                ids = self._word(word)
+            first = piece[:1] == _FIRST
+            core = piece[1:] if first else piece
+            if first and core.isalpha():
+                ids = self._word(core, "")
             elif not core or len(core.split()) != 1 or len(core.split()[0]) != len(core):
                 ids = None
-            elif core[-1] in _MARKS and core[:-1].isalpha():
-                ids = self[piece[:-1]] + self.marks[core[-1]]
             else:
-                ids = self._library([word])[0]
+                ids = self._library([core if first else " " + core])[0]
         self[piece] = ids
         return ids
 
