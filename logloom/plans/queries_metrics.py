@@ -317,12 +317,12 @@ def e02_statistical_features(spark, d):
     return out.select("id", r6(F.col(f"{p}time_diff_seconds")).alias("diff"), F.col(f"{p}hour_of_day").alias("hour"), F.col(f"{p}day_of_week").alias("dow"), F.col(f"{p}day_of_month").alias("dom"), F.col(f"{p}events_per_minute").alias("per_minute"), F.col(f"{p}events_per_hour").alias("per_hour"), F.col(f"{p}level_count").alias("level_count"))
 
 
-@query(LOG + """, i AS (SELECT id, source_id, us, (us - lag(us) OVER (PARTITION BY source_id ORDER BY us)) / 1e6 AS d FROM log) SELECT id, round(coalesce(avg(d) OVER w, 0), 4) AS avg_interval, round(coalesce(stddev_samp(d) OVER w, 0), 4) AS std_interval, round(coalesce(min(d) OVER w, 0), 6) AS min_interval, round(coalesce(quantile_cont(d, 0.5) OVER w, 0), 4) AS median_interval,
+@query(LOG + """, i AS (SELECT id, source_id, us, (us - lag(us) OVER (PARTITION BY source_id ORDER BY us)) / 1e6 AS d FROM log) SELECT id, round(coalesce(avg(d) OVER w, 0), 1) AS avg_interval, round(coalesce(stddev_samp(d) OVER w, 0), 1) AS std_interval, round(coalesce(min(d) OVER w, 0), 6) AS min_interval, round(coalesce(quantile_cont(d, 0.5) OVER w, 0), 1) AS median_interval,
  round(CASE WHEN count(d) OVER w < 3 THEN 1 WHEN avg(d) OVER w = 0 THEN 0 ELSE exp(-coalesce(stddev_samp(d) OVER w, 0) / avg(d) OVER w) END, 6) AS regularity FROM i WINDOW w AS (PARTITION BY source_id ORDER BY us ROWS 1000 PRECEDING)""")
 def e03_temporal_features(spark, d):
     out = features.with_temporal(events_as_log(spark, d).withColumn("timestamp", F.col("ts")))
     p = "temporal_"
-    return out.select("id", F.round(f"{p}avg_interval", 4).alias("avg_interval"), F.round(f"{p}std_interval", 4).alias("std_interval"), r6(F.col(f"{p}min_interval")).alias("min_interval"), F.round(f"{p}median_interval", 4).alias("median_interval"), r6(F.col(f"{p}regularity_score")).alias("regularity"))
+    return out.select("id", F.round(f"{p}avg_interval", 1).alias("avg_interval"), F.round(f"{p}std_interval", 1).alias("std_interval"), r6(F.col(f"{p}min_interval")).alias("min_interval"), F.round(f"{p}median_interval", 1).alias("median_interval"), r6(F.col(f"{p}regularity_score")).alias("regularity"))
 
 
 def _score_sql(patterns, col="lower(message)"):
