@@ -1,9 +1,11 @@
-"""Substring dedup by hashing lines and the sentences in them.
+"""Substring dedup by hashing lines, the sentences in them, and windows of words chosen by their content.
 
 Units are parts of lines: a unit ends at a line feed, after a sentence mark, and before a capitalised word that
 doesn't follow another one. They are normalised (case, punctuation and white space don't count). So that short units
-don't match by chance, each unit is hashed together with those after it until ``least`` words are reached. Digests are
-grouped over the whole corpus; the occurrence of the earliest rank (doc_id, then place) is kept, others are marked, and
+don't match by chance, each unit is hashed together with those after it until ``least`` words are reached. Where a
+repeat doesn't start and end with units, windows of ``least`` words at content-defined places find it (see
+``chosen_windows``): at most ``least`` - 1 words at each of its ends stay, so none of 2 * (``least`` - 1) + ``run`` words or
+more (47) stays whole. Digests are grouped over the whole corpus; the occurrence of the earliest rank (doc_id, then place) is kept, others are marked, and
 runs of marked words of at least ``run`` words are removed, their original offsets retained.
 
 Before the shuffle each task drops all but its first occurrence of a digest (the others are marked at once), so a line
@@ -31,7 +33,7 @@ BUCKET_BYTES = 8 << 20
 #: Bytes of text whose digests a task gathers before it sends them.
 SEND_BYTES = 8 << 20
 _NO_ID = np.iinfo(np.int64).max
-#: A digest's occurrence: 96 bits of digest, document (id and hash of its text), first word.
+#: A digest's occurrence: 96 bits of digest, document (id and hash of its text), code of the window.
 ENTRY = np.dtype([("a", "<u8"), ("doc", "<i8"), ("b", "<u4"), ("hash", "<u4"), ("word", "<u4")])
 _SECOND = 0xD1B54A32D192ED03
 
@@ -51,7 +53,7 @@ def unit_starts(w: Words) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def windows(w: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unit_windows(w: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word and end word (in the chunk) of each unit together with those after it up to ``least`` words."""
     starts = unit_starts(w)
     bounds = np.append(starts, len(w.starts))
@@ -63,6 +65,36 @@ def windows(w: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.nd
     return text[fits], starts[fits], ends[fits]
 
 
+def chosen_windows(w: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first word of the windows of ``least`` words whose digest is the least of some ``least`` windows in a row.
+
+    Only words decide, so two copies of a passage choose the same windows inside it, one in each ``least`` at least:
+    of a repeat of n words all but ``least`` - 1 words at each end are in such windows. A text's last words start none,
+    so windows of other texts have no part in the choice.
+    """
+    n = len(w.starts)
+    first = np.arange(max(0, n - least + 1))
+    text = np.searchsorted(w.last, first, side="right")
+    whole = first + least <= w.last[text]
+    h = np.full(len(first) + 2 * (least - 1), np.iinfo(np.uint64).max)
+    own = h[least - 1 : least - 1 + len(first)]
+    own[whole] = digests(w, first[whole], first[whole] + least)[0]
+    low = np.lib.stride_tricks.sliding_window_view(h, least).min(axis=1)
+    chosen = whole & (np.lib.stride_tricks.sliding_window_view(low, least).max(axis=1) == own) if len(first) else whole
+    return text[chosen], first[chosen]
+
+
+def windows(w: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first and end word (in the chunk) of all hashed windows, and a code: twice the first word in its text, one more
+    for chosen windows (units that are equal to one stand for it)."""
+    text, first, end = unit_windows(w, least)
+    text_2, first_2 = chosen_windows(w, least)
+    new = ~np.isin(first_2, first[end - first == least])
+    text_2, first_2 = text_2[new], first_2[new]
+    code = np.concatenate([2 * (first - w.first[text]), 2 * (first_2 - w.first[text_2]) + 1])
+    return np.concatenate([text, text_2]), np.concatenate([first, first_2]), np.concatenate([end, first_2 + least]), code
+
+
 def digests(w: Words, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """96 bits of the words from ``starts`` to ``ends``."""
     out = []
@@ -122,11 +154,11 @@ def _local(n_buckets: int, least: int):
 
         for batch, texts in chunks(batches, "text"):
             w = Words(texts, ALNUM, latin=True)
-            text, first, end = windows(w, least)
+            text, first, end, code = windows(w, least)
             e = np.zeros(len(text), ENTRY)
             e["a"], e["b"] = digests(w, first, end)
             ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-            e["doc"], e["word"] = ids[text], first - w.first[text]
+            e["doc"], e["word"] = ids[text], code
             e["hash"] = batch.column(batch.schema.get_field_index("hash")).to_numpy(zero_copy_only=False)[text]
             held.append(e)
             size += sum(map(len, texts))
@@ -152,7 +184,7 @@ def text_hash() -> F.Column:
 
 
 def marked(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, hash, marks): of each document with marked units their first words, as packed numbers."""
+    """(doc_id, hash, marks): of each document with marked windows their codes, as packed numbers."""
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // BUCKET_BYTES))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("hash")).where(F.col("text").isNotNull())
@@ -165,8 +197,8 @@ def marked(documents: DataFrame, least: int = LEAST) -> DataFrame:
 def removed_spans(text: bytes, marks: list[bytes], least: int = LEAST, run: int = RUN) -> list[tuple[int, int]]:
     """Byte spans to remove: runs of words in marked units, up to the next word."""
     w = Words([text], ALNUM, latin=True)
-    _, first, end = windows(w, least)
-    own = np.isin(first, np.frombuffer(b"".join(marks), "<u4"))
+    _, first, end, code = windows(w, least)
+    own = np.isin(code, np.frombuffer(b"".join(marks), "<u4"))
     change = np.zeros(len(w.starts) + 1, np.int64)
     np.add.at(change, first[own], 1)
     np.add.at(change, end[own], -1)

@@ -380,6 +380,34 @@ def test_substring_dedup_cases(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_repeats_without_unit_bounds_are_removed(spark):
+    rng = random.Random(12)
+    data, places = [], {}
+    for k in range(20):
+        passage = prose(rng, 50, [f"w{i}" for i in range(3000)])
+        for copy in (0, 1):
+            before, after = (prose(rng, rng.randint(3, 30), [f"x{i}" for i in range(3000)]) for _ in range(2))
+            places[2 * k + copy] = len(before) + 1, len(before) + 1 + len(passage)
+            data.append((2 * k + copy, f"{before} {passage} {after}"))
+    out = {r["doc_id"]: r for r in substring_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    for d, t in data:
+        spans, (s, e) = out[d]["removed"], places[d]
+        if d % 2 == 0:
+            assert out[d]["text"] == t and spans == []
+        else:
+            assert len(spans) == 1 and s <= spans[0][0] and spans[0][1] <= e + 1  # a span ends at the next word
+            assert len(t[spans[0][0] : spans[0][1]].split()) >= 50 - 2 * (substring_dedup.LEAST - 1)
+
+
+def test_chosen_windows_do_not_depend_on_other_texts():
+    rng = random.Random(2)
+    texts = [prose(rng, rng.choice([0, 1, 11, 12, 13, 90])).encode() for _ in range(60)] + [b"a " * 40, b"", b"x"]
+    w = substring_dedup.Words(texts, substring_dedup.ALNUM, latin=True)
+    text, _, _, code = substring_dedup.windows(w)
+    for i, t in enumerate(texts):
+        assert sorted(code[text == i]) == sorted(substring_dedup.windows(substring_dedup.Words([t], substring_dedup.ALNUM, latin=True))[3])
+
+
 def test_earliest_occurrence_against_brute_force():
     rng = np.random.default_rng(4)
     e = np.zeros(500, substring_dedup.ENTRY)
