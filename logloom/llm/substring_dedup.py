@@ -11,9 +11,10 @@ runs of marked words of at least ``run`` words are removed, their original offse
 Before the shuffle each task drops all but its first occurrence of a digest (the others are marked at once), so a line
 that a third of all documents share reaches its group once per task. Digests travel as packed arrays per bucket.
 
-Defined cases: null and empty texts stay as they are; rows of the same doc_id and text are one document stored twice
-and get the same result; documents without doc_id rank last; an occurrence inside the same document counts as well;
-an empty table gives no rows; other columns pass through ``dedup``.
+Defined cases: null and empty texts stay as they are; rows of the same doc_id and text (also without doc_id) are one
+document stored twice and get the same result, so where they are the earliest each keeps its passages;
+documents without doc_id rank last; an occurrence inside the same document counts as well, unless it overlaps the first
+``least`` words of the earliest; an empty table gives no rows; other columns pass through ``dedup``.
 """
 
 from __future__ import annotations
@@ -106,16 +107,37 @@ def digests(w: Words, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
     return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
 
 
-def later(e: np.ndarray) -> np.ndarray:
-    """Numbers of the entries that aren't the earliest of their digest."""
+def _ranked(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the entries whose digest may be there several times, by digest and rank, and of the earliest of each one's digest."""
     order = np.argsort(e["a"], kind="stable")
     a = e["a"][order]
     same = a[1:] == a[:-1]
     several = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(a) else order
     x = e[several]
     rank = np.lexsort((x["word"], x["hash"], x["doc"], x["b"], x["a"]))
-    x = x[rank]
-    return several[rank[1:][(x["a"][1:] == x["a"][:-1]) & (x["b"][1:] == x["b"][:-1])]] if len(x) else several
+    x, several = x[rank], several[rank]
+    new = np.ones(len(x), bool)
+    new[1:] = (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])
+    return several, several[np.flatnonzero(new)[np.cumsum(new) - 1]]
+
+
+def later(e: np.ndarray) -> np.ndarray:
+    """Numbers of the entries that aren't the earliest of their digest."""
+    order, first = _ranked(e)
+    return order[order != first]
+
+
+def repeats(e: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the entries to mark, and of those equal to the earliest of their digest.
+
+    Entries in the earliest one's document (or a row equal to it) that start within its first ``least`` words aren't
+    marked: marks are joined by document and word, so they would take away the occurrence that has to stay.
+    """
+    order, first = _ranked(e)
+    x, f = e[order], e[first]
+    own = (x["doc"] == f["doc"]) & (x["hash"] == f["hash"])
+    near = own & ((x["word"] >> 1).astype(np.int64) - (f["word"] >> 1) < least)
+    return order[~near], order[own & (x["word"] == f["word"]) & (order != first)]
 
 
 def _marks(e: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -141,9 +163,9 @@ def _local(n_buckets: int, least: int):
         def send() -> Iterator[pa.RecordBatch]:
             e = np.concatenate(held)
             held.clear()
-            dup = later(e)
-            yield from _marks(e[dup])
-            e = np.delete(e, dup)
+            marked, equal = repeats(e, least)
+            yield from _marks(e[marked])
+            e = np.delete(e, np.concatenate([marked, equal]))
             bucket = (e["a"] % np.uint64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             e, bucket = e[order], bucket[order]
@@ -171,12 +193,15 @@ def _local(n_buckets: int, least: int):
     return run
 
 
-def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [np.frombuffer(x, ENTRY) for b in batches for x in b.column(0).to_pylist()]
-    if held:
-        e = np.concatenate(held)
-        for out in _marks(e[later(e)]):
-            yield out.select(["doc_id", "hash", "packed"])
+def _grouped(least: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x, ENTRY) for b in batches for x in b.column(0).to_pylist()]
+        if held:
+            e = np.concatenate(held)
+            for out in _marks(e[repeats(e, least)[0]]):
+                yield out.select(["doc_id", "hash", "packed"])
+
+    return run
 
 
 def text_hash() -> F.Column:
@@ -190,7 +215,7 @@ def marked(documents: DataFrame, least: int = LEAST) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("hash")).where(F.col("text").isNotNull())
     local = materialize(rows.mapInArrow(tidy(_local(n, least)), _ROWS), "unit-digests")
     spread = local.where(F.col("bucket").isNotNull()).select("bucket", "packed").repartition(n, "bucket").select("packed")
-    found = spread.mapInArrow(tidy(_grouped), "doc_id long, hash long, packed binary")
+    found = spread.mapInArrow(tidy(_grouped(least)), "doc_id long, hash long, packed binary")
     return local.where(F.col("bucket").isNull()).select("doc_id", "hash", "packed").unionByName(found).groupBy("doc_id", "hash").agg(F.collect_list("packed").alias("marks"))
 
 

@@ -380,6 +380,18 @@ def test_substring_dedup_cases(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_equal_rows_keep_the_earliest_occurrence(spark):
+    (_, first), (_, second), (_, third) = (passages(seed) for seed in (21, 22, 23))
+    data = [(5, first), (5, first), (None, second), (None, second), (9, "before it. " + first), (None, third + " " + third), (None, third + " " + third), (1, "ha " * 90)]
+    for n in (1, 5):  # equal rows in one task and in several
+        out = sorted((r["doc_id"] or 0, r["text"]) for r in substring_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(n)).collect())
+        texts = [t for _, t in out]
+        assert out.count((5, first)) == 2 and texts.count(second) == 2
+        assert [len(t) < 30 for d, t in out if d == 9] == [True]
+        assert [t.split() for d, t in out if d == 1] == [["ha"] * substring_dedup.LEAST]
+        assert sum(t.startswith(third[:-1]) and len(t) < len(third) + 100 for t in texts) == 2
+
+
 def test_repeats_without_unit_bounds_are_removed(spark):
     rng = random.Random(12)
     data, places = [], {}
