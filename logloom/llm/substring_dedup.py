@@ -198,8 +198,11 @@ def _grouped(least: int):
         held = [np.frombuffer(x, ENTRY) for b in batches for x in b.column(0).to_pylist()]
         if held:
             e = np.concatenate(held)
-            for out in _marks(e[repeats(e, least)[0]]):
-                yield out.select(["doc_id", "hash", "packed"])
+            e = e[repeats(e, least)[0]]
+            # one row a mark: rows by document and bucket would grow with the number of buckets
+            words = pa.Array.from_buffers(pa.binary(), len(e), [None, pa.py_buffer(np.arange(0, 4 * len(e) + 1, 4, dtype=np.int32)), pa.py_buffer(e["word"].astype("<u4"))])
+            docs = e["doc"].copy()
+            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == _NO_ID), pa.array(e["hash"].astype(np.int64)), words], names=["doc_id", "hash", "packed"])
 
     return run
 
