@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 _tag = re.compile(r"<!--(?:.*?-->|.*)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>", re.DOTALL)
-_attr = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
+_attr = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _space = re.compile(r"\s+")
 _number = re.compile(r"[0-9]+")
 _part = re.compile(r"[a-z]+")
@@ -46,6 +46,10 @@ OTHER_NAMES = frozenset(
     " newsletter subscribe subscription signup login popup modal overlay toolbar widget skip contentinfo complementary search hidden".split()
 )
 HEADER_NAMES = frozenset("header banner".split())
+#: Parts of a name that tells how the page is laid out (no-sidebar, with-sidebar), not what the element is.
+LAYOUT_WORDS = frozenset("no not with without has have off on hide show disabled enabled".split())
+#: Elements that no name leaves out.
+NEVER_BY_NAME = frozenset("html body article main".split())
 _closes_p = BLOCKS - {"option"}
 
 
@@ -60,6 +64,7 @@ class Page:
     def __init__(self, source: str):
         self.nodes: list[tuple[str, str, int, int]] = [("", "", -1, 0)]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
+        self.by_name: set[int] = set()  # nodes left out by a name or as hidden
         stack = [0]
         text: list[str] = []
         linked, in_link, at, n = 0, False, 0, len(source)
@@ -118,6 +123,19 @@ class Page:
                     continue
                 self._open(stack, name, attrs)
         flush()
+        if self.by_name and self.blocks and all(self._wanted(b[0], None) is None for b in self.blocks):
+            self._way_back()
+
+    def _way_back(self) -> None:
+        """Where everything was left out: articles, the main part and the page, with all around them, count in spite of names."""
+        for i, (tag, *_) in enumerate(self.nodes):
+            if tag in NEVER_BY_NAME:
+                x = i
+                while x > 0:
+                    if x in self.by_name:
+                        self.by_name.discard(x)
+                        self.nodes[x] = (*self.nodes[x][:3], 0)
+                    x = self.nodes[x][2]
 
     def _close(self, stack: list[int], names: tuple[str, ...]) -> None:
         """Ends open elements of these names up to the nearest container or list."""
@@ -132,17 +150,25 @@ class Page:
         classes, parts, hidden = [], set(), False
         if attrs:
             for key, value in _attr.findall(attrs):
-                value = value.strip("\"'").lower()
-                if key.lower() == "class":
-                    classes = value.split()
-                hidden |= key.lower() == "hidden"
-                parts.update(_part.findall(value))
+                key, value = key.lower(), value.strip("\"'").lower()
+                hidden |= key == "hidden"
+                if key in ("class", "id", "role"):
+                    if key == "class":
+                        classes = value.split()
+                    for x in value.split():
+                        of_name = _part.findall(x)
+                        if LAYOUT_WORDS.isdisjoint(of_name):
+                            parts.update(of_name)
         parent = stack[-1]
         kind = 0
+        if name in NEVER_BY_NAME:
+            parts = set()
         if name == "header" or (name in CONTAINERS and parts & HEADER_NAMES and not parts & (OTHER_NAMES - HEADER_NAMES)):
             kind = 2
-        elif name in LEFT_OUT or hidden or (name not in ("html", "body") and parts & OTHER_NAMES):
+        elif name in LEFT_OUT or hidden or parts & OTHER_NAMES:
             kind = 1
+        if kind and name != "header" and name not in LEFT_OUT:
+            self.by_name.add(len(self.nodes))
         up = self.nodes[parent][1]
         step = generalised(name, classes if name not in ("html", "body") else [])
         self.nodes.append((name, f"{up}>{step}" if up else step, parent, kind))

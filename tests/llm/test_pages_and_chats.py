@@ -36,6 +36,17 @@ def test_host_consensus_beats_a_page_of_its_own(spark):
     assert got[9] == "short main"
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<body style='overflow:hidden'>{}</body>", "<html aria-hidden='false'><body>{}</body></html>", "<body class='with-header no-sidebar'>{}</body>", "<body><article class='post no-sidebar'>{}</article></body>",
+        "<body><main class='with-sidebar search' data-x='hidden'>{}</main></body>", "<body><div id='content-search-off'>{}</div></body>", "<body hidden>{}</body>", "<body><div class='overlay'><article>{}</article></div></body>",
+    ],
+)
+def test_names_do_not_leave_out_articles(source):
+    assert html_extract.Page(source.format("<p>the text of the page</p><div class='sidebar'>side</div><p hidden>not this</p>")).text(None) == "the text of the page"
+
+
 @pytest.mark.parametrize("source", ["<", "<p", "<!--", "<p class='x>y", "</p></div>", "<script>", "&#x110000; &bogus; &amp", "<a href='" + "x" * 50_000, "<div>" * 3000 + "deep", "<p>" * 5000 + "x"])
 def test_broken_html(source):
     p = html_extract.Page(source)
