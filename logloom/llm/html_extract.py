@@ -1,7 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 First pass: each page's containers are scored by the text of their blocks (links count against them), and the page
-votes for the generalised path (tags and classes, without numbers) of its best container. Spark adds the votes up per
+votes for the generalised path (tags and classes, without numbers) of the whole that holds its best container: the
+article or main part around it, else the outermost container inside body. Spark adds the votes up per
 (host, path), with partial sums before the shuffle, and keeps each host's winning path. Second pass: each page's text
 is taken from the containers on its host's winning path, or from its own best container where it has none on it.
 
@@ -209,9 +210,27 @@ class Page:
         return out
 
     def best(self) -> tuple[int, float]:
-        """The best container (the first of the best), and its score; the page itself if it has no text."""
+        """The whole of the best container (the first of the best), and its score; the page itself if it has no text."""
         s = self.scores()
-        return max(s.items(), key=lambda kv: (kv[1], -kv[0])) if s else (0, 0.0)
+        if not s:
+            return 0, 0.0
+        x, score = max(s.items(), key=lambda kv: (kv[1], -kv[0]))
+        return self._whole(x), score
+
+    def _whole(self, x: int) -> int:
+        """The outermost article (else main part) around a container, or else the outermost container inside body, as
+        far as nothing between them is left out."""
+        way = [x]
+        while x > 0 and self.nodes[x][3] == 0:
+            x = self.nodes[x][2]
+            way.append(x)
+        if self.nodes[x][3]:
+            way.pop()
+        for tags in (("article",), ("main",), CONTAINERS - {"html", "body", "td"}):
+            of_tag = [y for y in way if self.nodes[y][0] in tags]
+            if of_tag:
+                return of_tag[-1]
+        return way[0]
 
     def text(self, path: str | None) -> str:
         """The text of the containers on ``path``, else of the best one."""

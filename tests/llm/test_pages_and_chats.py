@@ -47,6 +47,16 @@ def test_names_do_not_leave_out_articles(source):
     assert html_extract.Page(source.format("<p>the text of the page</p><div class='sidebar'>side</div><p hidden>not this</p>")).text(None) == "the text of the page"
 
 
+@pytest.mark.parametrize("layout", ["<article>{}</article>", "<main class='m'>{}</main>", "<main><article class='a'>{}</article></main>", "<div class='post'>{}</div>", "<div class='page'><section class='post'>{}</section></div>"])
+def test_nested_layouts_stay_whole(spark, layout):
+    lead, body, more = "lead " * 60, "body text " * 200, "more text " * 60
+    article = f"<h1>Title</h1><p class='lead'>{lead}</p><div class='body'><p>{body}</p></div><div class='second'><p>{more}</p></div>"
+    want = "\n".join(["Title", lead.strip(), body.strip(), more.strip()])
+    source = f"<body><nav>menu</nav>{layout.format(article)}<div class='sidebar'>{'side ' * 20}</div><footer>f</footer></body>"
+    got = html_extract.extract(spark.createDataFrame([(i, f"http://n.example.org/{i}", source) for i in range(3)], PAGES)).collect()
+    assert [r["text"] for r in got] == [want] * 3
+
+
 @pytest.mark.parametrize("source", ["<", "<p", "<!--", "<p class='x>y", "</p></div>", "<script>", "&#x110000; &bogus; &amp", "<a href='" + "x" * 50_000, "<div>" * 3000 + "deep", "<p>" * 5000 + "x"])
 def test_broken_html(source):
     p = html_extract.Page(source)
