@@ -6,7 +6,7 @@ word and weighted down by length. The language of the highest sum wins; ``score`
 
 The classifier is fitted on a bounded sample of labelled rows: at most about ``sample_per_lang`` texts of each
 language, chosen by a hash of doc_id (all of them where there are fewer). The model that is sent to the executors
-keeps at most ``max_words`` words and ``max_grams`` n-grams of each language, so its size is bounded by parameters.
+keeps at most ``max_words`` words and ``max_grams`` n-grams of each length and language: all languages are learned, and its size grows with their number.
 
 Defined cases: a null text or one without letters gets ``und`` and score 0; without any training row every text gets
 ``und``; ties go to the language that is first by name; repeated rows are predicted each; an empty table gives none.
@@ -20,11 +20,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 GRAM_LENGTHS = (5, 4, 3, 2, 1)
+#: With more languages the model holds only the tokens that each of them has.
+DENSE_LANGS = 16
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -68,18 +71,20 @@ def fit(rows: DataFrame, sample_per_lang: int = 3_000, max_words: int = 40_000,
     from pyspark.sql import Window
 
     rows = rows.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(400).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {"langs": []}
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_per_lang / n))))
+    share = F.broadcast(rows.sparkSession.createDataFrame([(lang, min(1.0, sample_per_lang / n)) for lang, n in sizes.items()], "lang string, share double"))
     point = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(point < share[F.col("lang")]).select("lang", "text")
+    sample = rows.join(share, "lang").where(point < F.col("share")).select("lang", "text")
     counts = sample.mapInArrow(_counts, "lang string, length int, token string, n long").groupBy("lang", "length", "token").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.desc("n"), "token"))
     kept = counts.withColumn("rank", rank).withColumn("total", F.sum("n").over(Window.partitionBy("lang", "length")))
     kept = kept.where(F.col("rank") <= F.when(F.col("length") == 0, max_words).otherwise(max_grams)).drop("rank")
     table = kept.toArrow()
     langs = sorted(sizes)
+    if len(langs) > DENSE_LANGS:
+        return {"langs": langs, "sparse": sparse_tables(table, langs)}
     at = {x: i for i, x in enumerate(langs)}
     totals: dict[int, np.ndarray] = {k: np.ones(len(langs)) for k in (0, *GRAM_LENGTHS)}
     seen: dict[int, dict[str, np.ndarray]] = {k: {} for k in (0, *GRAM_LENGTHS)}
@@ -94,6 +99,24 @@ def fit(rows: DataFrame, sample_per_lang: int = 3_000, max_words: int = 40_000,
     return {"langs": langs, "logs": logs}
 
 
+def sparse_tables(table: pa.Table, langs: list[str]) -> dict:
+    """By length: tokens, the range of each one's entries, their languages and gains over an unseen token, and the unseen token's logs."""
+    lang_at = pc.index_in(table["lang"].combine_chunks(), pa.array(langs, pa.string())).to_numpy(zero_copy_only=False).astype(np.int32)
+    length, n, total = (table[x].to_numpy() for x in ("length", "n", "total"))
+    out = {}
+    for k in (0, *GRAM_LENGTHS):
+        at = np.flatnonzero(length == k)
+        codes = table["token"].take(pa.array(at)).combine_chunks().dictionary_encode()
+        ids, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+        order = np.argsort(ids, kind="stable")
+        totals = np.ones(len(langs))
+        totals[lang_at[at]] = total[at]
+        ranges = np.searchsorted(ids[order], np.arange(len(names) + 1))
+        unseen = np.log(0.5) - np.log(totals + 0.5 * max(1, len(names)))
+        out[k] = names, ranges, lang_at[at][order], (np.log(n[at][order] + 0.5) - np.log(0.5)).astype(np.float32), unseen
+    return out
+
+
 class Predictor:
     """Scores texts in a worker. The row of each word is found once and kept, up to ``limit`` words."""
 
@@ -132,17 +155,56 @@ class Predictor:
             if not text or not any(map(str.isalpha, text)):
                 return UNKNOWN, 0.0
             words = ["".join(filter(str.isalpha, text.lower()))]
+        mean = self.total(words) / len(words) * min(len(words), 20)
+        p = np.exp(mean - mean.max())
+        p /= p.sum()
+        best = int(p.argmax())
+        return self.langs[best], float(p[best])
+
+    def total(self, words: list[str]) -> np.ndarray:
+        """The sums of the words' rows."""
         if self.used > self.limit:
             self.reset()
         get = self.index.get
         ids = [get(w, -1) for w in words]
         if -1 in ids:
             ids = [i if i >= 0 else self.index.get(w, -1) if w in self.index else self.add(w) for i, w in zip(ids, words, strict=True)]
-        mean = self.rows[ids].sum(axis=0, dtype=np.float64) / len(ids) * min(len(ids), 20)
-        p = np.exp(mean - mean.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        return self.langs[best], float(p[best])
+        return self.rows[ids].sum(axis=0, dtype=np.float64)
+
+
+class SparsePredictor(Predictor):
+    """The same scores for many languages: a word holds only the languages that have it."""
+
+    def __init__(self, model: dict, limit: int = 50_000):
+        self.langs, self.limit = model["langs"], limit
+        self.tables = {k: ({x: i for i, x in enumerate(t[0])}, *t[1:]) for k, t in model["sparse"].items()}
+        self.rows = {}
+
+    def row(self, word: str) -> tuple[int, float, np.ndarray, np.ndarray] | None:
+        """Length, weight, languages and gains of a word."""
+        for k in (0, *GRAM_LENGTHS):
+            index, ranges, langs, gains, _ = self.tables[k]
+            found = [index[x] for x in (grams_of(word, k) if k else [word]) if x in index]
+            if found:
+                weight = (k + 1) / 6 if k else 1.0
+                parts = [slice(ranges[i], ranges[i + 1]) for i in found]
+                return k, weight, np.concatenate([langs[x] for x in parts]), np.concatenate([gains[x] for x in parts]) * (weight / len(found))
+        return None
+
+    def total(self, words: list[str]) -> np.ndarray:
+        if len(self.rows) > self.limit:
+            self.rows.clear()
+        out = np.zeros(len(self.langs))
+        weights: Counter = Counter()
+        for word, n in Counter(words).items():
+            if word not in self.rows:
+                self.rows[word] = self.row(word)
+            if (row := self.rows[word]) is not None:
+                weights[row[0]] += n * row[1]
+                out += np.bincount(row[2], row[3] * n, len(out))
+        for k, weight in weights.items():
+            out += self.tables[k][-1] * weight
+        return out
 
 
 def predict(documents: DataFrame, model: dict, held_out: Column) -> DataFrame:
@@ -151,7 +213,7 @@ def predict(documents: DataFrame, model: dict, held_out: Column) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        p = Predictor(m) if m["langs"] else None
+        p = (SparsePredictor if "sparse" in m else Predictor)(m) if m["langs"] else None
         for b in batches:
             got = [p.predict(t) if p else (UNKNOWN, 0.0) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])

@@ -457,6 +457,27 @@ def test_language_id(spark):
     assert language_id.identify(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_all_languages_are_learned(spark):
+    ids = {}
+    for i in range(4000):
+        ids.setdefault(zlib.crc32(str(i).encode()) % 3 == 1, []).append(i)
+    langs = [f"l{i:03}" for i in range(430)]
+    text = {x: " ".join(f"{w}{chr(97 + i // 26)}{chr(97 + i % 26)}" for w in ("on", "under", "with")) for i, x in enumerate(langs)}
+    data = [(ids[False][2 * i + k], text[x], x) for i, x in enumerate(langs) for k in (0, 1)] + [(ids[True][i], text[x], x) for i, x in enumerate(langs)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert all(got[d] == x for d, _, x in data)
+
+
+def test_sparse_language_model_scores_as_the_dense_one(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    dense = language_id.Predictor(language_id.fit(docs.where("doc_id % 2 = 0")))
+    monkeypatch.setattr(language_id, "DENSE_LANGS", 0)
+    sparse = language_id.SparsePredictor(language_id.fit(docs.where("doc_id % 2 = 0")))
+    for r in docs.collect():
+        a, b = dense.predict(r["text"]), sparse.predict(r["text"])
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-3
+
+
 def test_language_backoff_uses_shorter_grams():
     logs = {k: ([], np.zeros((0, 2), np.float32)) for k in (0, *language_id.GRAM_LENGTHS)}
     logs[0] = (["known"], np.array([[-1.0, -5.0]], np.float32))
