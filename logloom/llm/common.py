@@ -55,6 +55,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, or with the first number after it that makes it none of the ``columns`` (case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    return next(x for k in itertools.count(1) if (x := name if k == 1 else f"{name}_{k}").lower() not in taken)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

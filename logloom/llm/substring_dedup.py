@@ -1,20 +1,25 @@
-"""Substring dedup by hashing lines, the sentences in them, and windows of words chosen by their content.
+"""Substring dedup by line hashing, with content-chosen windows for repeats that don't start and end with lines.
 
-Units are parts of lines: a unit ends at a line feed, after a sentence mark, and before a capitalised word that
-doesn't follow another one. They are normalised (case, punctuation and white space don't count). So that short units
-don't match by chance, each unit is hashed together with those after it until ``least`` words are reached. Where a
-repeat doesn't start and end with units, windows of ``least`` words at content-defined places find it (see
-``chosen_windows``): at most ``least`` - 1 words at each of its ends stay, so none of 2 * (``least`` - 1) + ``run`` words or
-more (47) stays whole. Digests are grouped over the whole corpus; the occurrence of the earliest rank (doc_id, then place) is kept, others are marked, and
-runs of marked words of at least ``run`` words are removed, their original offsets retained.
+Lines (paragraphs: what stands between line feeds) are the units. A unit is normalised (case, punctuation and white
+space don't count) and hashed; digests are grouped over the whole corpus, the occurrence of the earliest rank (doc_id,
+then place) is kept, and every other one is removed with its line feed, however short it is. ``least_words`` can spare
+short units; its default of 1 spares none.
 
-Before the shuffle each task drops all but its first occurrence of a digest (the others are marked at once), so a line
-that a third of all documents share reaches its group once per task. Digests travel as packed arrays per bucket.
+A passage that repeats inside lines that differ has no unit of its own. Therefore windows of ``WINDOW`` words are hashed as
+well, at places that their words choose (see ``chosen_windows``), and grouped in the same way. Runs of at least ``run`` words
+in such windows are removed. At most ``SPAN`` - 1 words at each end of a repeat lie in no chosen window: these (three) may
+stay, and a repeat of ``run`` + 2 * (``SPAN`` - 1) words (31) or more always goes. The original offsets of all that is removed are retained.
 
-Defined cases: null and empty texts stay as they are; rows of the same doc_id and text (also without doc_id) are one
-document stored twice and get the same result, so where they are the earliest each keeps its passages;
-documents without doc_id rank last; an occurrence inside the same document counts as well, unless it overlaps the first
-``least`` words of the earliest; an empty table gives no rows; other columns pass through ``dedup``.
+Before the shuffle each task drops all but its first occurrence of a digest (the others are marked at once), so a line
+that a third of all documents share reaches its group once per task, and a group that is still long is settled in parts.
+Digests travel as packed arrays per bucket.
+
+Defined cases: null and empty texts stay as they are; a line without any letter or digit is no unit and stays; rows of
+the same doc_id and text (also without doc_id) are one document stored twice and get the same result, so where they are
+the earliest each keeps its passages; documents without doc_id rank last, by a hash of their text; an occurrence inside the
+same document counts as well, unless it is a window that overlaps the earliest; a document all of whose lines are repeats gets the empty
+text; an empty table gives no rows; other columns pass through ``dedup``, and where one has the name of the column of spans, that column
+gets a number after its name.
 """
 
 from __future__ import annotations
@@ -26,74 +31,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, _power, ALNUM, Words, chunks, materialize, mix, tidy
+from .common import _INVERSE, _power, ALNUM, Words, chunks, free_name, materialize, mix, tidy
 
-LEAST, RUN = 12, 25
+#: Words of a window, and windows in a row of which one is chosen; words that a run in windows has at least.
+WINDOW, SPAN, RUN = 12, 4, 25
 #: Bytes of text for each bucket of digests.
 BUCKET_BYTES = 8 << 20
 #: Bytes of text whose digests a task gathers before it sends them.
 SEND_BYTES = 8 << 20
+#: Entries that a group's task holds before it settles them.
+HELD_ENTRIES = 2_000_000
 _NO_ID = np.iinfo(np.int64).max
-#: A digest's occurrence: 96 bits of digest, document (id and hash of its text), code of the window.
+#: A digest's occurrence: 96 bits of digest, document (id and hash of its text), code: twice the first word, one more for windows.
 ENTRY = np.dtype([("a", "<u8"), ("doc", "<i8"), ("b", "<u4"), ("hash", "<u4"), ("word", "<u4")])
 _SECOND = 0xD1B54A32D192ED03
+_LINE = np.uint64(0x8CB92BA72F3D8DD7)
 
 
-def unit_starts(w: Words) -> np.ndarray:
-    """Numbers of the words that start a unit."""
+def lines_of(w: Words, least_words: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and end word (in the chunk) of each line with ``least_words`` words."""
     n = len(w.starts)
     if not n:
-        return np.zeros(0, np.int64)
-    raw, s, e = w.raw, w.starts, w.ends
-    lead = raw[s]
-    capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (raw[s + 1] >= 0x80) & (raw[s + 1] <= 0x9E))  # a text ends with a line feed
-    feeds = np.concatenate([[0], np.cumsum(raw == 10)])
-    after = raw[e[:-1]]
-    new = np.ones(n, bool)
-    new[1:] = (feeds[s[1:]] > feeds[e[:-1]]) | (after == 46) | (after == 33) | (after == 63) | (capital[1:] & ~capital[:-1])
-    return np.flatnonzero(new)
-
-
-def unit_windows(w: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word and end word (in the chunk) of each unit together with those after it up to ``least`` words."""
-    starts = unit_starts(w)
-    bounds = np.append(starts, len(w.starts))
-    text = np.searchsorted(w.last, starts, side="right")
-    k = np.searchsorted(bounds, starts + least)
-    fits = k < len(bounds)
-    ends = bounds[np.minimum(k, len(bounds) - 1)]
-    fits &= ends <= w.last[np.minimum(text, len(w.last) - 1)]
-    return text[fits], starts[fits], ends[fits]
-
-
-def chosen_windows(w: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Text and first word of the windows of ``least`` words whose digest is the least of some ``least`` windows in a row.
-
-    Only words decide, so two copies of a passage choose the same windows inside it, one in each ``least`` at least:
-    of a repeat of n words all but ``least`` - 1 words at each end are in such windows. A text's last words start none,
-    so windows of other texts have no part in the choice.
+        return (np.zeros(0, np.int64),) * 3
+    feeds = np.flatnonzero(w.raw == 10)  # a text ends with a line feed too
+    line = np.searchsorted(feeds, w.starts)
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    end = np.append(first[1:], n)
+    long = end - first >= least_words
+    first, end = first[long], end[long]
+    return np.searchsorted(w.last, first, side="right"), first, end
+
+
+def chosen_windows(w: Words, width: int = WINDOW, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first word of the windows of ``width`` words whose digest is the least of some ``span`` windows in a row.
+
+    Only words decide, so two copies of a passage choose the same windows inside it, one in each ``span`` at least:
+    of a repeat of n words all but ``span`` - 1 words at each end are in such windows. A text's last words start none
+    (``span`` isn't greater than ``width``), so windows of other texts have no part in the choice.
     """
     n = len(w.starts)
-    first = np.arange(max(0, n - least + 1))
+    first = np.arange(max(0, n - width + 1))
     text = np.searchsorted(w.last, first, side="right")
-    whole = first + least <= w.last[text]
-    h = np.full(len(first) + 2 * (least - 1), np.iinfo(np.uint64).max)
-    own = h[least - 1 : least - 1 + len(first)]
-    own[whole] = digests(w, first[whole], first[whole] + least)[0]
-    low = np.lib.stride_tricks.sliding_window_view(h, least).min(axis=1)
-    chosen = whole & (np.lib.stride_tricks.sliding_window_view(low, least).max(axis=1) == own) if len(first) else whole
+    whole = first + width <= w.last[text]
+    h = np.full(len(first) + 2 * (span - 1), np.iinfo(np.uint64).max)
+    own = h[span - 1 : span - 1 + len(first)]
+    own[whole] = digests(w, first[whole], first[whole] + width)[0]
+    low = np.lib.stride_tricks.sliding_window_view(h, span).min(axis=1)
+    chosen = whole & (np.lib.stride_tricks.sliding_window_view(low, span).max(axis=1) == own) if len(first) else whole
     return text[chosen], first[chosen]
 
 
-def windows(w: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first and end word (in the chunk) of all hashed windows, and a code: twice the first word in its text, one more
-    for chosen windows (units that are equal to one stand for it)."""
-    text, first, end = unit_windows(w, least)
-    text_2, first_2 = chosen_windows(w, least)
-    new = ~np.isin(first_2, first[end - first == least])
-    text_2, first_2 = text_2[new], first_2[new]
+def units(w: Words, least_words: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first and end word (in the chunk) and code of all lines and chosen windows; lines come first."""
+    text, first, end = lines_of(w, least_words)
+    text_2, first_2 = chosen_windows(w)
     code = np.concatenate([2 * (first - w.first[text]), 2 * (first_2 - w.first[text_2]) + 1])
-    return np.concatenate([text, text_2]), np.concatenate([first, first_2]), np.concatenate([end, first_2 + least]), code
+    return np.concatenate([text, text_2]), np.concatenate([first, first_2]), np.concatenate([end, first_2 + WINDOW]), code
 
 
 def digests(w: Words, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,23 +114,20 @@ def _ranked(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return several, several[np.flatnonzero(new)[np.cumsum(new) - 1]]
 
 
-def later(e: np.ndarray) -> np.ndarray:
-    """Numbers of the entries that aren't the earliest of their digest."""
-    order, first = _ranked(e)
-    return order[order != first]
-
-
-def repeats(e: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the entries to mark, and of those equal to the earliest of their digest.
+def settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the entries to mark (not the earliest of their digest), and of those to keep for further comparison.
 
-    Entries in the earliest one's document (or a row equal to it) that start within its first ``least`` words aren't
-    marked: marks are joined by document and word, so they would take away the occurrence that has to stay.
+    Entries equal to the earliest (a row stored twice) are neither. Windows in the earliest one's document that overlap it
+    stay unmarked: marks are joined by document and word, so they would take away the occurrence that has to stay.
     """
     order, first = _ranked(e)
     x, f = e[order], e[first]
     own = (x["doc"] == f["doc"]) & (x["hash"] == f["hash"])
-    near = own & ((x["word"] >> 1).astype(np.int64) - (f["word"] >> 1) < least)
-    return order[~near], order[own & (x["word"] == f["word"]) & (order != first)]
+    window = (x["word"] & 1).astype(bool)
+    near = own & window & ((x["word"] >> 1).astype(np.int64) - (f["word"] >> 1) < WINDOW)
+    equal = own & (x["word"] == f["word"])
+    marked = order[~near & ~equal]
+    return marked, np.delete(np.arange(len(e)), np.concatenate([marked, order[equal & (order != first)]]))
 
 
 def _marks(e: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -155,7 +145,7 @@ def _marks(e: np.ndarray) -> Iterator[pa.RecordBatch]:
 _ROWS = "bucket int, doc_id long, hash long, packed binary"
 
 
-def _local(n_buckets: int, least: int):
+def _local(n_buckets: int, least_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -163,9 +153,9 @@ def _local(n_buckets: int, least: int):
         def send() -> Iterator[pa.RecordBatch]:
             e = np.concatenate(held)
             held.clear()
-            marked, equal = repeats(e, least)
+            marked, left = settle(e)
             yield from _marks(e[marked])
-            e = np.delete(e, np.concatenate([marked, equal]))
+            e = e[left]
             bucket = (e["a"] % np.uint64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             e, bucket = e[order], bucket[order]
@@ -176,9 +166,10 @@ def _local(n_buckets: int, least: int):
 
         for batch, texts in chunks(batches, "text"):
             w = Words(texts, ALNUM, latin=True)
-            text, first, end, code = windows(w, least)
+            text, first, end, code = units(w, least_words)
             e = np.zeros(len(text), ENTRY)
             e["a"], e["b"] = digests(w, first, end)
+            e["a"] ^= np.where(code & 1, np.uint64(0), _LINE)
             ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
             e["doc"], e["word"] = ids[text], code
             e["hash"] = batch.column(batch.schema.get_field_index("hash")).to_numpy(zero_copy_only=False)[text]
@@ -193,52 +184,83 @@ def _local(n_buckets: int, least: int):
     return run
 
 
-def _grouped(least: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, ENTRY) for b in batches for x in b.column(0).to_pylist()]
-        if held:
-            e = np.concatenate(held)
-            for out in _marks(e[repeats(e, least)[0]]):
-                yield out.select(["doc_id", "hash", "packed"])
+def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of a bucket's entries. What is settled on the way is only what some earlier occurrence stands for."""
+    held: list[np.ndarray] = []
+    size = least = 0
 
-    return run
+    def out() -> Iterator[pa.RecordBatch]:
+        nonlocal size, least
+        e = np.concatenate(held)
+        marked, left = settle(e)
+        for x in _marks(e[marked]):
+            yield x.select(["doc_id", "hash", "packed"])
+        held[:] = [e[left]]
+        size = least = len(left)
+
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            held.append(np.frombuffer(x, ENTRY))
+            size += len(held[-1])
+            if size >= least + HELD_ENTRIES:
+                yield from out()
+    if held:
+        yield from out()
 
 
 def text_hash() -> F.Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF)
 
 
-def marked(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, hash, marks): of each document with marked windows their codes, as packed numbers."""
+def marked(documents: DataFrame, least_words: int = 1) -> DataFrame:
+    """(doc_id, hash, marks): of each document with marked units their codes, as packed numbers."""
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // BUCKET_BYTES))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("hash")).where(F.col("text").isNotNull())
-    local = materialize(rows.mapInArrow(tidy(_local(n, least)), _ROWS), "unit-digests")
+    local = materialize(rows.mapInArrow(tidy(_local(n, least_words)), _ROWS), "unit-digests")
     spread = local.where(F.col("bucket").isNotNull()).select("bucket", "packed").repartition(n, "bucket").select("packed")
-    found = spread.mapInArrow(tidy(_grouped(least)), "doc_id long, hash long, packed binary")
-    return local.where(F.col("bucket").isNull()).select("doc_id", "hash", "packed").unionByName(found).groupBy("doc_id", "hash").agg(F.collect_list("packed").alias("marks"))
+    found = spread.mapInArrow(tidy(_grouped), "doc_id long, hash long, packed binary")
+    # a document's marks are at most its units; a text stored again and again without doc_id has a set of them from each task at most
+    return local.where(F.col("bucket").isNull()).select("doc_id", "hash", "packed").unionByName(found).groupBy("doc_id", "hash").agg(F.collect_set("packed").alias("marks"))
 
 
-def removed_spans(text: bytes, marks: list[bytes], least: int = LEAST, run: int = RUN) -> list[tuple[int, int]]:
-    """Byte spans to remove: runs of words in marked units, up to the next word."""
+def removed_spans(text: bytes, marks: list[bytes], least_words: int = 1, run: int = RUN) -> list[tuple[int, int]]:
+    """Byte spans to remove, in order and apart: marked lines with their line feeds, and runs of words in marked windows and
+    lines, up to the next word or line feed."""
     w = Words([text], ALNUM, latin=True)
-    _, first, end, code = windows(w, least)
+    _, first, end, code = units(w, least_words)
     own = np.isin(code, np.frombuffer(b"".join(marks), "<u4"))
+    lines = own & (code & 1 == 0)
+    feeds = np.concatenate([[-1], np.flatnonzero(w.raw == 10)])  # the last one is beyond the text
+    at = np.searchsorted(feeds, w.starts[first[lines]])
+    spans = [(int(s) + 1, min(int(e) + 1, len(text))) for s, e in zip(feeds[at - 1], feeds[at], strict=True)]
     change = np.zeros(len(w.starts) + 1, np.int64)
     np.add.at(change, first[own], 1)
     np.add.at(change, end[own], -1)
     inside = np.concatenate([[False], np.cumsum(change)[:-1] > 0, [False]])
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts = np.append(w.starts, len(text))
-    return [(int(starts[s]), int(starts[e])) for s, e in zip(turns[0::2], turns[1::2], strict=True) if e - s >= run]
-
-
-def dedup(documents: DataFrame, least: int = LEAST, run: int = RUN, removed: str = "removed") -> DataFrame:
-    """All documents, with repeated passages taken out of ``text`` (and ``n_chars``, if there, counted anew), and a column
-    ``removed``: spans [from, to) in code points of the original text."""
-    columns, own = documents.columns, f"__{removed}"
-    marks = marked(documents, least).withColumnsRenamed({"doc_id": f"{own}_id", "hash": f"{own}_hash", "marks": own})
-    joined = documents.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{own}_id")) & (text_hash() == F.col(f"{own}_hash")), "left").select(*(F.col(f"`{c}`") for c in columns), own)
+    for s, e in zip(turns[0::2], turns[1::2], strict=True):
+        if e - s >= run:
+            feed = int(feeds[np.searchsorted(feeds, w.ends[e - 1])])
+            spans.append((int(starts[s]), min(int(starts[e]), feed)))
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def dedup(documents: DataFrame, least_words: int = 1, run: int = RUN, removed: str = "removed") -> DataFrame:
+    """All documents, with repeated lines and passages taken out of ``text`` (and ``n_chars``, if there, counted anew), and a
+    column ``removed``: spans [from, to) in code points of the original text."""
+    columns = documents.columns
+    removed = free_name(removed, columns)
+    own, own_id, own_hash = (free_name(f"{removed}_{x}", columns) for x in ("marks", "id", "hash"))
+    marks = marked(documents, least_words).withColumnsRenamed({"doc_id": own_id, "hash": own_hash, "marks": own})
+    joined = documents.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col(f"`{own_id}`")) & (text_hash() == F.col(f"`{own_hash}`")), "left").select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{own}`"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + f", `{removed}` array<array<long>>"
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +274,7 @@ def dedup(documents: DataFrame, least: int = LEAST, run: int = RUN, removed: str
                 if not m or not texts[i]:
                     continue
                 raw, at, kept, chars = texts[i].encode(), 0, [], 0
-                for s, e in removed_spans(raw, m, least, run):
+                for s, e in removed_spans(raw, m, least_words, run):
                     before, gone = raw[at:s].decode(), len(raw[s:e].decode())
                     kept.append(before)
                     spans[i].append([chars + len(before), chars + len(before) + gone])
