@@ -5,17 +5,16 @@ intersection has at least three quarters of the union's size.
 
 1. Documents with equal sets form a class (one key); one member stands for it.
 2. Shingles are ordered by (frequent, hash). Linked sets share one of their first n/4 + 1 shingles in any common
-   order. Since the order is random among shingles that aren't frequent, the first K shingles already miss a link with
-   a chance below 2**-``certainty`` (K is 29 for 45 bits where no shingle is frequent, more where many are); the lesser
-   of the two counts is sent. Frequent shingles come last, so a passage that many documents share doesn't bring
+   order; so many are sent. Frequent shingles come last, so a passage that many documents share doesn't bring
    them together. The list of frequent shingles has a fixed greatest length; it only sets the order, so it can't cost a link.
+   (With ``certainty``, as an option, at most as many are sent as leave a chance below 2**-``certainty`` to miss a link.)
 3. The keys that share such a shingle are a list. First each key is compared with the key that is the least one of most
    of its lists; the links give first components. Lists inside one component have nothing more to tell. In two further
    rounds a few members of components that share lists are compared, so that a large group becomes one component early.
 4. In every other list the keys' signatures (bitmaps of their shingles) are put in a tree ordered by size, whose nodes
    hold the bitmaps' union and the range of sizes. A traversal of the tree with itself drops pairs of nodes whose
-   greatest possible overlap is too small, whose sizes differ too much, or that are one component. Long lists are dealt
-   in blocks, a pair of blocks to a task.
+   greatest possible overlap is too small, whose sizes differ too much, or that are one component. Long lists are cut into
+   parts of about ``PART`` keys, by which all joins on a list are dealt, and go to the trees in blocks of parts, a pair of blocks to a task.
 5. The remaining pairs are compared by their full sets, and the links' components are final.
 
 Texts of a pair meet by key; a key with many partners is split over several tasks. Links and components stay in Spark.
@@ -37,16 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, merged, mix, shingle_sets, tidy
+from .common import chunks, free_name, materialize, merged, mix, shingle_sets, tidy
 from .components import connected_components
 
 #: Shingles that are ordered last as frequent: at most so many, found so often at least.
 FREQUENT, FREQUENT_AT = 200_000, 64
-CERTAINTY = 45
 #: Bytes of text that a task looks at together.
 GROUP_BYTES = 8 << 20
-#: Shingles of a bucket, keys of a block of a list, partners of a key in one task.
-BUCKET, BLOCK, PARTNERS = 250_000, 2_048, 256
+#: Shingles of a bucket, keys of a part of a list, parts of a block, partners of a key in one task.
+BUCKET, PART, BLOCK, PARTNERS = 250_000, 512, 4, 256
 LEAF, FAN = 16, 4
 #: Rounds of comparing members of components that share lists, and pairs of members for two components in each.
 ROUNDS, TRIALS = 2, 4
@@ -70,7 +68,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(x) + len(y) - both)
 
 
-def n_sent(n: int, frequent: int, certainty: int | None = CERTAINTY) -> int:
+def n_sent(n: int, frequent: int, certainty: int | None = None) -> int:
     """How many of a set's first shingles are sent, of which so many of the set are frequent."""
     exact = n // 4 + 1
     if certainty is None or 3 * (n - frequent) <= n:
@@ -83,8 +81,8 @@ def n_sent(n: int, frequent: int, certainty: int | None = CERTAINTY) -> int:
 
 
 def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (frequent false, doc_id, key, n) of documents, and (true, null, shingle, count) of shingles met in several sets of a group."""
-    names = ["frequent", "doc_id", "key", "n"]
+    """Rows (frequent false, doc_id, hash, key, n) of documents, and (true, null, null, shingle, count) of shingles met in several sets of a group."""
+    names = ["frequent", "doc_id", "hash", "key", "n"]
     for batch, texts in merged(batches, "text", GROUP_BYTES):
         keys, sizes = [], []
         own: dict[int, np.ndarray] = {}
@@ -99,13 +97,13 @@ def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(s))
                 own.setdefault(keys[-1], s)
             at = end
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), bool)), batch.column(batch.schema.get_field_index("doc_id")), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), bool)), *(batch.column(batch.schema.get_field_index(x)) for x in ("doc_id", "hash")), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=names)
         h = np.sort(np.concatenate([*own.values(), np.zeros(0, np.uint64)]))
         firsts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
         counts = np.diff(np.append(firsts, len(h)))
         some = counts > 1
         found, counts = h[firsts[some]].view(np.int64), counts[some]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), bool)), pa.nulls(len(found), pa.int64()), pa.array(found), pa.array(counts.astype(np.int64))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), bool)), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(found), pa.array(counts.astype(np.int64))], names=names)
 
 
 # --- 2, 3: lists of keys that share a shingle ------------------------------------------------------------------------------
@@ -157,7 +155,7 @@ def _send(n_buckets: int, frequent, certainty: int | None):
 
 
 def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (list, key, n, center, weight): the distinct lists of a bucket's shingles, and how many shingles have each."""
+    """Rows (list, parts, part, key, n, center, weight): the distinct lists of a bucket's shingles, and how many shingles have each."""
     held = [np.frombuffer(x, _ENTRY) for b in batches for x in b.column(0).to_pylist()]
     if not held:
         return
@@ -176,17 +174,18 @@ def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     firsts, counts = firsts[counts > 1], counts[counts > 1]
     if not len(firsts):
         return
-    ends = np.concatenate([[np.uint64(0)], np.cumsum(mix(e["key"].view(np.uint64) if e["key"].flags["C_CONTIGUOUS"] else e["key"].copy().view(np.uint64)))])
+    mixed = mix(e["key"].copy().view(np.uint64))
+    ends = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
     list_id = mix(ends[firsts + counts] - ends[firsts] + counts.astype(np.uint64))
     ids, which, weight = np.unique(list_id, return_index=True, return_counts=True)
     firsts, counts = firsts[which], counts[which]
     for a in range(0, len(ids), 100_000):
         f, c = firsts[a : a + 100_000], counts[a : a + 100_000]
         rows = np.repeat(f - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids[a : a + 100_000].view(np.int64), c)), pa.array(e["key"][rows].copy()), pa.array(e["n"][rows].astype(np.int64)), pa.array(np.repeat(e["key"][f], c)), pa.array(np.repeat(weight[a : a + 100_000], c).astype(np.int64))],
-            names=["list", "key", "n", "center", "weight"],
-        )
+        parts = np.repeat(-(-c // PART), c)
+        columns = [np.repeat(ids[a : a + 100_000].view(np.int64), c), parts.astype(np.int32), (mixed[rows] % parts.astype(np.uint64)).astype(np.int32), e["key"][rows].copy()]
+        columns += [e["n"][rows].astype(np.int64), np.repeat(e["key"][f], c), np.repeat(weight[a : a + 100_000], c).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["list", "parts", "part", "key", "n", "center", "weight"])
 
 
 # --- 4: signature trees ------------------------------------------------------------------------------------------------
@@ -283,14 +282,11 @@ class SignatureTree:
 
 
 def _traversals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of keys of each group (list, x, y): blocks x and y of a list. Rows come ordered by group.
-
-    ``lists`` are all lists of a key; a pair is given by the least list that both keys are in, and by no other.
-    """
+    """Pairs of keys of each group (list, x, y): blocks x and y of a list. Rows come ordered by group. A pair may come from several lists."""
 
     def grouped():
         for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            yield from zip(*(b.column(c).to_pylist() for c in ("list", "x", "y", "block", "key", "n", "label", "signature", "lists")), strict=True)
+            yield from zip(*(b.column(c).to_pylist() for c in ("list", "x", "y", "block", "key", "n", "label", "signature")), strict=True)
 
     def tree(rows):
         return SignatureTree(np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64), np.array([r[6] for r in rows], np.int64), [r[7] for r in rows])
@@ -302,15 +298,13 @@ def _traversals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
-    for (own, x, y), rows in itertools.groupby(grouped(), key=lambda r: r[:3]):
+    for (_, x, y), rows in itertools.groupby(grouped(), key=lambda r: r[:3]):
         rows = list(rows)
-        lists = {r[4]: r[8] for r in rows}
         one = tree([r for r in rows if r[3] == x]) if any(r[3] == x for r in rows) else None
         two = one if x == y else tree([r for r in rows if r[3] == y]) if any(r[3] == y for r in rows) else None
         if one and two:
             for a, b in one.pairs(two):
-                if min(set(lists[a]).intersection(lists[b])) == own:
-                    pairs.add((min(a, b), max(a, b)))
+                pairs.add((min(a, b), max(a, b)))
                 if len(pairs) >= 100_000:
                     yield out()
     if pairs:
@@ -358,19 +352,19 @@ def _own_texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "key long, text string")
 
 
-def classes(documents: DataFrame, certainty: int | None = CERTAINTY) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, n) of all rows, and (node, label) of the keys that link with others."""
+def classes(documents: DataFrame, certainty: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash of the text, key, n) of all rows, and (node, label) of the keys that link with others."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(rows.mapInArrow(tidy(_classes), "frequent boolean, doc_id long, key long, n long"), "shingle-classes")
-    docs = found.where(~F.col("frequent")).select("doc_id", "key", "n")
+    found = materialize(rows.withColumn("hash", F.xxhash64("text")).mapInArrow(tidy(_classes), "frequent boolean, doc_id long, hash long, key long, n long"), "shingle-classes")
+    docs = found.where(~F.col("frequent")).select("doc_id", "hash", "key", "n")
     often = found.where("frequent").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_AT).orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").toArrow()
     hot = np.sort(often.column("key").to_numpy().astype(np.int64).view(np.uint64))
-    total = docs.agg(F.sum(F.least(F.expr("n div 4 + 1"), F.lit(64)))).first()[0] or 0
+    total = docs.agg(F.sum(F.expr("n div 4 + 1") if certainty is None else F.least(F.expr("n div 4 + 1"), F.lit(64)))).first()[0] or 0
     n_buckets = max(1, -(-int(total) // BUCKET))
 
     sent = rows.select("text").where(F.col("text").isNotNull()).mapInArrow(tidy(_send(n_buckets, spark.sparkContext.broadcast(hot), certainty)), "bucket int, packed binary")
-    lists = materialize(sent.repartition(n_buckets, "bucket").select("packed").mapInArrow(tidy(_lists), "list long, key long, n long, center long, weight long"), "shingle-lists")
+    lists = materialize(sent.repartition(n_buckets, "bucket").select("packed").mapInArrow(tidy(_lists), "list long, parts int, part int, key long, n long, center long, weight long"), "shingle-lists")
 
     reps = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = lists.select("key").distinct()
@@ -380,7 +374,7 @@ def classes(documents: DataFrame, certainty: int | None = CERTAINTY) -> tuple[Da
     n_parts = max(1, n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = materialize(_links(stars.select((-F.col("best.c")).alias("a"), F.col("key").alias("b")), texts, n_parts), "first-links")
     labels = _merged(wanted.withColumn("label", F.col("key")), first)
-    members = _open(lists.select("list", "key", "n").distinct(), labels)
+    members = _open(lists.select(*_MEMBER).distinct(), labels)
     for trial in range(ROUNDS):
         if members.isEmpty():
             break
@@ -401,12 +395,10 @@ def _tree_pairs(members: DataFrame, texts: DataFrame, n_parts: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([signature(s) for s in shingle_sets(own)], pa.binary())], names=["key", "signature"])
 
     signed = texts.join(members.select("key").distinct(), "key", "left_semi").mapInArrow(tidy(signatures), "key long, signature binary")
-    sizes = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.join(sizes, "list").withColumn("block", block).withColumn("other", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    shared = members.groupBy("key").agg(F.collect_list("list").alias("lists"))  # as many as a key sends shingles
-    dealt = dealt.join(signed, "key").join(shared, "key").select("list", "x", "y", "block", "key", "n", "label", "signature", "lists")
+    blocks = F.expr(f"(parts + {BLOCK - 1}) div {BLOCK}").cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    dealt = members.withColumn("block", F.expr(f"part div {BLOCK}").cast("int")).withColumn("other", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    dealt = dealt.join(signed, "key").select("list", "x", "y", "block", "key", "n", "label", "signature")
     return dealt.repartition(n_parts, "list", "x", "y").sortWithinPartitions("list", "x", "y").mapInArrow(tidy(_traversals), "a long, b long").distinct()
 
 
@@ -418,38 +410,53 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(found, F.col("label") == F.col("node"), "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
 
 
+_MEMBER = ("list", "parts", "part", "key", "n")
+
+
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(list, key, n, label) of the lists that hold several components."""
+    """The members of the lists that hold several components, with their labels."""
     rows = members.join(labels, "key")
-    several = rows.groupBy("list").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("list")
-    return materialize(rows.join(several, "list", "left_semi").select("list", "key", "n", "label"), "open-lists")
+    ranges = rows.groupBy("list", "part").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+    several = ranges.groupBy("list").agg(F.min("l0").alias("l0"), F.max("l1").alias("l1")).where("l0 <> l1").select("list")
+    parts = ranges.select("list", "part").join(several, "list")
+    return materialize(rows.join(parts, ["list", "part"], "left_semi").select(*_MEMBER, "label"), "open-lists")
 
 
 def _trials(members: DataFrame, trial: int) -> DataFrame:
     """Pairs (a, b) to compare before the trees are: in each list a member of the largest component with one of each other
     component, and for any two components ``TRIALS`` of these pairs. Their links spare the trees most pairs of one group."""
     own = F.struct(F.xxhash64("key", "list", F.lit(trial)).alias("h"), "key", "n")
-    reps = members.groupBy("list", "label").agg(F.min(own).alias("rep"), F.count("*").alias("size"))
-    center = reps.groupBy("list").agg(F.max(F.struct("size", F.col("label").alias("l"), F.col("rep.key").alias("a"), F.col("rep.n").alias("m"))).alias("c"))
-    met = reps.join(center, "list").where((F.col("label") != F.col("c.l")) & (F.col("rep.n") * 4 >= F.col("c.m") * 3) & (F.col("c.m") * 4 >= F.col("rep.n") * 3))
+    reps = members.groupBy("list", "label").agg(F.min(own).alias("rep"), F.count("*").alias("size"), F.max("parts").alias("parts"))
+    center = reps.groupBy("list").agg(F.max(F.struct("size", F.col("label").alias("l"), F.col("rep.key").alias("a"), F.col("rep.n").alias("m"))).alias("c"), F.max("parts").alias("parts"))
+    dealt = center.select("list", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    near = reps.withColumn("salt", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int")).join(dealt, ["list", "salt"])
+    met = near.where((F.col("label") != F.col("c.l")) & (F.col("rep.n") * 4 >= F.col("c.m") * 3) & (F.col("c.m") * 4 >= F.col("rep.n") * 3))
     pairs = met.select(F.col("c.l").alias("l"), "label", F.col("c.a").alias("a"), F.col("rep.key").alias("b")).distinct()
     order = Window.partitionBy("l", "label").orderBy(F.xxhash64("a", "b", F.lit(trial)))
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TRIALS).select("a", "b").distinct()
 
 
-def join_documents(documents: DataFrame, certainty: int | None = CERTAINTY) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _labelled(documents: DataFrame, certainty: int | None) -> DataFrame:
+    """doc_id, hash of the text, n and label of the component of all rows; label null without words."""
     docs, label = classes(documents, certainty)
-    labelled = docs.join(label, (F.col("key") == F.col("node")) & (F.col("n") > 0), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("label"))
-    labelled = materialize(labelled, "labelled")
+    found = docs.join(label, (F.col("key") == F.col("node")) & (F.col("n") > 0), "left")
+    return materialize(found.select("doc_id", "hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("label")), "labelled")
+
+
+def join_documents(documents: DataFrame, certainty: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    labelled = _labelled(documents, certainty)
     least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").withColumnRenamed("label", "l")
     return labelled.join(least, F.col("label") == F.col("l"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("size") > 1, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with all columns. Rows without doc_id stay; of
-    rows with one doc_id (all taken to be one document) one stays."""
-    kept = join_documents(documents).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    has_id = documents.where(F.col("doc_id").isNotNull())
-    one = has_id.join(kept, has_id["doc_id"].cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(documents.where(F.col("doc_id").isNull()))
+def keep_one(documents: DataFrame, certainty: int | None = None) -> DataFrame:
+    """One document of each component, with all columns: the one of the least doc_id (rows without one come last), then of the
+    least hash of its text. Rows with the same doc_id and text are one document. Documents without words all stay."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")).alias("k")
+    doc_id, text_hash = (free_name(f"kept_{x}", documents.columns) for x in ("id", "hash"))
+    kept = _labelled(documents, certainty).where(F.col("label").isNotNull()).groupBy("label").agg(first).select(F.col("k.doc_id").alias(doc_id), F.col("k.hash").alias(f"{text_hash}_")).distinct()
+    has_words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    rows = documents.where(has_words).withColumn(text_hash, F.xxhash64("text"))
+    one = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(F.col(doc_id)) & (F.col(text_hash) == F.col(f"{text_hash}_")), "left_semi").dropDuplicates(["doc_id", text_hash]).drop(text_hash)
+    return one.unionByName(documents.where(~has_words))
