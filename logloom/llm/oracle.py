@@ -38,22 +38,24 @@ OP5 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(
  sum({len(TURN) + len(BODY) + len(END)} + length(role) + length(text) + {_MARKS.format("role")} + {_MARKS.format("text")}) AS chars FROM c GROUP BY 1)
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(t) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g"""
 
-_FEATURES = {"symbols": "n_symbols * 10000 // greatest(n_words, 1)", "dup_lines": "n_dup_lines * 10000 // greatest(n_lines, 1)", "repeats": "n_repeat_words * 10000 // greatest(n_words, 1)", "word_length": "word_chars * 1000 // greatest(n_words, 1)"}
+_SHARE = "greatest(CAST(floor(({0} - 2 * sqrt({0})) * 10000 / greatest({1}, 1)) AS BIGINT), 0)"
+_FEATURES = {
+    "symbols": _SHARE.format("n_symbols", "n_words"),
+    "dup_lines": _SHARE.format("n_dup_lines", "n_lines"),
+    "repeats": _SHARE.format("n_repeat_words", "n_words"),
+    "word_length": "word_chars * 1000 // greatest(n_words, 1)",
+}
 
 
 def _op6() -> str:
-    from .quality_rules import LEAST_GAP
-
     rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, {v} AS x FROM m WHERE NOT base_failed" for k, v in _FEATURES.items())
-    gaps = ", ".join(f"('{k}', {v})" for k, v in LEAST_GAP.items())
     beyond = " OR ".join(f"coalesce({v} > (SELECT fence FROM fences x WHERE x.lang IS NOT DISTINCT FROM m.lang AND x.source IS NOT DISTINCT FROM m.source AND x.feature = '{k}'), false)" for k, v in _FEATURES.items())
 
-    def quartiles(name: str, keys: str) -> str:
+    def fence(name: str, keys: str) -> str:
         group, over = (f"{keys}, ", f"PARTITION BY {keys}, feature") if keys else ("", "PARTITION BY feature")
-        return f"""{name} AS (SELECT {group}feature, max(total) AS size, min(CASE WHEN upto * 4 >= total THEN bucket END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS q3
+        return f"""{name} AS (SELECT {group}feature, max(total) AS size, min(CASE WHEN upto * 10 >= total * 9 THEN bucket END) + (min(CASE WHEN upto * 10 >= total * 9 THEN bucket END) - min(CASE WHEN upto * 10 >= total * 5 THEN bucket END)) * CAST(8.0 AS DOUBLE) AS fence
  FROM (SELECT {group}feature, bucket, sum(n) OVER ({over} ORDER BY bucket) AS upto, sum(n) OVER ({over}) AS total FROM (SELECT {group}feature, bucket, sum(n) AS n FROM k GROUP BY ALL)) GROUP BY ALL)"""
 
-    fence = "{0}.q3 + greatest(({0}.q3 - {0}.q1) * 6.0, gaps.gap)"
     return f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS l FROM documents),
  lines AS (SELECT doc_id, list_filter(str_split(text, chr(10)), lambda z: regexp_matches(z, '{_WORD}')) AS s FROM w),
  win AS (SELECT doc_id, unnest(range(1, len(l) - 1)) AS i, l FROM w WHERE len(l) >= 3),
@@ -64,10 +66,9 @@ def _op6() -> str:
  len(s) - len(list_distinct(s)) AS n_dup_lines, len(s) AS n_lines, coalesce(reps.n, 0) AS n_repeat_words FROM w JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN reps ON reps.doc_id = w.doc_id),
  m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m0),
  k AS (SELECT lang, source, feature, CASE WHEN x < 128 THEN x ELSE (x >> (length(bin(x)) - 7)::INT) << (length(bin(x)) - 7)::INT END AS bucket, count(*) AS n FROM ({rows}) GROUP BY ALL),
- gaps AS (SELECT * FROM (VALUES {gaps}) AS t(feature, gap)),
- {quartiles("qg", "lang, source")}, {quartiles("ql", "lang")}, {quartiles("qa", "")},
- fences AS (SELECT qg.lang, qg.source, qg.feature, CASE WHEN qg.size >= 100 THEN {fence.format("qg")} WHEN ql.size >= 100 THEN {fence.format("ql")} ELSE {fence.format("qa")} END AS fence
- FROM qg JOIN ql ON ql.lang IS NOT DISTINCT FROM qg.lang AND ql.feature = qg.feature JOIN qa ON qa.feature = qg.feature JOIN gaps ON gaps.feature = qg.feature)
+ {fence("qg", "lang, source")}, {fence("ql", "lang")}, {fence("qa", "")},
+ fences AS (SELECT qg.lang, qg.source, qg.feature, (qg.fence * qg.size + ((ql.fence * ql.size + qa.fence * 100) / (ql.size + 100)) * 100) / (qg.size + 100) AS fence
+ FROM qg JOIN ql ON ql.lang IS NOT DISTINCT FROM qg.lang AND ql.feature = qg.feature JOIN qa ON qa.feature = qg.feature)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
  NOT base_failed AND NOT ({beyond}) AS kept FROM m"""
 
