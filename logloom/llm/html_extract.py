@@ -17,6 +17,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import re
 from collections.abc import Iterable, Iterator
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-_tag = re.compile(r"<!--(?:.*?-->|.*)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>", re.DOTALL)
+#: Markup: a comment, or a tag whose quoted attribute values may hold anything (a quote starts a value only after =), or a declaration.
+_tag = re.compile(r"<!--(?:.*?-->|.*)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>|<[!?/][^>]*>", re.DOTALL)
 _attr = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _space = re.compile(r"\s+")
 _number = re.compile(r"[0-9]+")
@@ -35,6 +37,8 @@ _part = re.compile(r"[a-z]+")
 
 #: Elements by their part in a page.
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math object canvas select".split())
+#: Those of them that hold markup, so that one may stand in another.
+NESTED = frozenset("template svg math object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body article main section div td center fieldset".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table thead tbody tfoot tr th caption figure figcaption header footer nav aside form address details summary hgroup head menu dialog hr option".split())
@@ -54,6 +58,11 @@ NEVER_BY_NAME = frozenset("html body article main".split())
 _closes_p = BLOCKS - {"option"}
 
 
+@functools.cache
+def _raw_tag(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.IGNORECASE)
+
+
 def generalised(tag: str, names: list[str]) -> str:
     """A step of a path: the tag and its classes, in order of name, numbers as *."""
     return ".".join([tag, *sorted({_number.sub("*", x) for x in names})])
@@ -90,10 +99,10 @@ class Page:
             if not m:
                 break
             at = m.end()
-            name = (m["name"] or m["name2"] or "").lower()
+            name = (m["name"] or "").lower()
             if not name:
                 continue
-            if m["close"] or m["close2"]:
+            if m["close"]:
                 if name == "a":
                     in_link = False
                 elif name in BLOCKS:
@@ -106,8 +115,7 @@ class Page:
                             break
                 continue
             if name in RAW:
-                close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
-                at = close.end() if close else n
+                at = self._end_of(name, source, at)
                 continue
             if name == "br":
                 text.append(" ")
@@ -115,7 +123,7 @@ class Page:
                 in_link = True
             elif name in BLOCKS or name == "button":
                 flush()
-                attrs = m["attrs"] or m["attrs2"] or ""
+                attrs = m["attrs"] or ""
                 if name in _closes_p:
                     self._close(stack, ("p",))
                 if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
@@ -127,6 +135,19 @@ class Page:
         if self.by_name and self.blocks and all(self._wanted(b[0], None) is None for b in self.blocks):
             self._way_back()
 
+    @staticmethod
+    def _end_of(name: str, source: str, at: int) -> int:
+        """Where an element of ``RAW`` ends that starts before ``at``; those that hold markup may hold their like."""
+        depth = 1
+        for m in _raw_tag(name).finditer(source, at):
+            if m[1]:
+                depth -= 1
+            elif name in NESTED and not m[0].endswith("/>"):
+                depth += 1
+            if not depth:
+                return m.end()
+        return len(source)
+
     def _way_back(self) -> None:
         """Where everything was left out: articles, the main part and the page, with all around them, count in spite of names."""
         for i, (tag, *_) in enumerate(self.nodes):
