@@ -4,12 +4,14 @@ A byte-level BPE never joins characters across a blank or line feed that stands
 since its pre-tokeniser can only start a piece there. Texts are therefore cut at such places, each distinct piece is
 encoded once by the library, and a text's ids are the joined ids of its pieces. A piece of letters alone is one
 pre-token, so it goes to the library's model directly; a sentence mark after letters is a pre-token of its own. Texts
-with other white space, and vocabularies that are not byte-level BPE without a normaliser, are encoded whole.
+with other white space or with the string of an added token (an id of its own, as the library has it), and vocabularies
+that are not byte-level BPE without a normaliser, are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 #: Pieces that the cache may hold before it is emptied; this only bounds memory.
@@ -35,8 +37,8 @@ def _letters_of_bytes() -> list[str]:
 
 
 class Encoder(dict):
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes. The strings of special tokens are
-    ordinary text. The mapping itself is the cache: piece to ids."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes: those of the library's
+    ``encode(text, add_special_tokens=False)``. The mapping itself is the cache: piece to ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,7 +48,8 @@ class Encoder(dict):
         pre = spec.get("pre_tokenizer") or {}
         self.cut = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [x["content"] for x in spec.get("added_tokens") or [] if x["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else None
         self.tokenize = self.tokenizer.model.tokenize
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.table = "".join(_letters_of_bytes())
@@ -93,7 +96,7 @@ class Encoder(dict):
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if self.cut and _FIRST not in t:
+            if self.cut and _FIRST not in t and not (self.added and self.added(t)):
                 try:
                     out[i] = b"".join(map(get, (_FIRST + t.replace("\n", " \n")).split(" ")))
                     continue
