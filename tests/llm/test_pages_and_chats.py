@@ -40,7 +40,7 @@ def test_host_consensus_beats_a_page_of_its_own(spark):
     "source",
     [
         "<body style='overflow:hidden'>{}</body>", "<html aria-hidden='false'><body>{}</body></html>", "<body class='with-header no-sidebar'>{}</body>", "<body><article class='post no-sidebar'>{}</article></body>",
-        "<body><main class='with-sidebar search' data-x='hidden'>{}</main></body>", "<body><div id='content-search-off'>{}</div></body>", "<body hidden>{}</body>", "<body><div class='overlay'><article>{}</article></div></body>",
+        "<body><main class='with-sidebar search' data-x='hidden'>{}</main></body>", "<body><div id='content-search-off'>{}</div></body>", "<body hidden>{}</body>", "<body title=don't><article>{}</article></body>", "<body data-a='>' data-b=\">\"><svg><svg><text>x</text></svg><p>in the drawing</p></svg>{}</body>", "<body><div class='overlay'><article>{}</article></div></body>",
     ],
 )
 def test_names_do_not_leave_out_articles(source):

@@ -36,7 +36,7 @@ def rows(seed=1):
                 v[rng.randrange(len(v))] = "edited"
             out.append(" ".join(v))
         out += [t, t.upper()]
-    out += [None, "", "   \n\t ", "one", "one", "One two three four", "a\x0bb c", "é è ñ 漢字 🙂 x y", prose(rng, 9000, vocab)]
+    out += [None, "", "   \n\t ", "one", "one", "One two three four", "a\x0bb c", "é è ñ 漢字 🙂 x y", "ends <|endoftext|> here<|endoftext|>", prose(rng, 9000, vocab)]
     return [(i, t, rng.choice(["en", "de", None]), rng.choice(["s0", "s1", None]), len(t or "")) for i, t in enumerate(out)]
 
 
@@ -77,7 +77,8 @@ def test_ngram_join(spark, docs, certainty):
     assert got == components(rows())
 
 
-def test_ngram_join_with_blocks_and_frequent_shingles(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_ngram_join_with_blocks_and_frequent_shingles(spark, monkeypatch, rounds):
     """Short blocks, few partners in a task and an early list of frequent shingles change nothing."""
     rng = random.Random(5)
     shared = prose(rng, 40)
@@ -89,7 +90,8 @@ def test_ngram_join_with_blocks_and_frequent_shingles(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"x{rng.randrange(30)}"
         data.append((i, shared + " " + " ".join(w), "en", "s", 0))
     monkeypatch.setattr(components_module, "SMALL", 0)
-    for name, value in (("BLOCK", 7), ("PARTNERS", 3), ("FREQUENT_AT", 3), ("LEAF", 2), ("ROUNDS", 0)):
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    for name, value in (("PART", 4), ("BLOCK", 2), ("PARTNERS", 3), ("FREQUENT_AT", 3), ("LEAF", 2)):
         monkeypatch.setattr(ngram_join, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(spark.createDataFrame(data, DOCS)).collect()}
     assert got == components(data)
@@ -108,6 +110,10 @@ def test_keep_one(spark, docs):
     assert ngram_join.keep_one(docs).columns == docs.columns
     twice = spark.createDataFrame([(1, "a b c d e", None, None, 0)] * 3 + [(None, "x", None, None, 0)], DOCS)
     assert ngram_join.keep_one(twice).count() == 2
+    odd = [(1, "a b c d e f", "x"), (1, "other words stay here as well", "y"), (None, "a b c d e f", "z"), (None, "null ids too are copies", "v"), (None, "null ids too are copies", "w"), (4, "", None), (4, None, None), (None, " ", None)]
+    got = ngram_join.keep_one(spark.createDataFrame(odd, "doc_id long, text string, kept_id string"))
+    assert got.columns == ["doc_id", "text", "kept_id"]
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted([("1", "a b c d e f"), ("1", "other words stay here as well"), ("None", "null ids too are copies"), ("4", ""), ("4", "None"), ("None", " ")])
 
 
 def test_signature_tree_misses_nothing():
@@ -149,12 +155,39 @@ def test_quality_thresholds(spark):
     assert all(got[i]["kept"] for i in range(240)) and got[2002]["kept"]
     assert not any(got[1000 + i]["kept"] or got[1000 + i]["base_failed"] for i in range(8))
     assert got[2000]["base_failed"] and got[2001]["base_failed"] and got[2001]["n_words"] == 0
-    frame = spark.createDataFrame(data, DOCS).withColumnRenamed("n_chars", "n_words")
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(data, DOCS).withColumnsRenamed({"n_chars": "n_words"}).withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in ("verdict", "measures", "limit_lang", "with space")})
     out = quality_rules.filter_documents(frame)
-    assert out.columns == frame.columns and {r["doc_id"] for r in out.collect()} == {i for i, r in got.items() if r["kept"]}
+    kept = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == frame.columns and set(kept) == {i for i, r in got.items() if r["kept"]}
+    assert all(r["verdict"] == f"verdict {i}" and r["with space"] == f"with space {i}" for i, r in kept.items())
+    again = {r["doc_id"]: r["kept"] for r in quality_rules.score_documents(spark.createDataFrame([*data, data[3], data[3]], DOCS)).collect()}
+    for i in (3, 1000, 2001):
+        assert again[i] == got[i]["kept"]
     assert quality_rules.score_documents(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_quality_fences_come_from_the_sketches(spark, sf):
+    """Fences against deciles of the sorted values themselves, up to the sketches' error."""
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet").collect()
+    got = {(r["lang"], r["source"]): r for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.with_measures(spark.createDataFrame(docs), ["lang", "source"])), prior=0).collect()}
+    values = {}
+    for r in docs:
+        n, chars, *_ = quality_rules.measure((r["text"] or "").encode())
+        m = dict(zip(quality_rules.MEASURES, quality_rules.measure((r["text"] or "").encode()), strict=True))
+        if n >= 50 and 2 * m["n_repeat_words"] <= n:
+            share = lambda c, of: max(0, int((c - 2 * c**0.5) * 10_000 / max(of, 1) // 1))
+            own = (share(m["n_symbols"], n), share(m["n_dup_lines"], m["n_lines"]), share(m["n_repeat_words"], n), chars * 1000 // n)
+            for name, x in zip(quality_rules.FEATURES, own, strict=True):
+                values.setdefault((r["lang"], r["source"], name), []).append(x)
+    assert len(values) > 100
+    for (lang, source, name), x in values.items():
+        x.sort()
+        q5, q9 = (x[-(-len(x) * k // 10) - 1] for k in (5, 9))
+        assert abs(got[lang, source][name] - (q9 + 8 * (q9 - q5))) <= 8 * (q9 + q5) / 64 + q9 / 64
+
+
 def test_quality_bucket(spark):
     from pyspark.sql import functions as F
 
@@ -176,13 +209,13 @@ def test_encoder_equals_the_library(vocabulary):
     parts = ["a", "Bc", "é", " ", "\n", ".", ",", "'", "s", "12", "-", "\t", "🙂", "́", "!", "ll", "\x01", " ", "\x1c", "　", "<|endoftext|>"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + [r[1] for r in rows()]
     assert enc.encode(texts) == enc._library([t or "" for t in texts])
+    assert 50256 in np.frombuffer(enc.encode(["a <|endoftext|>"])[0], "<u4")
 
 
 def ids_of(vocabulary, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary)
-    t.encode_special_tokens = True
     return {r[0]: [*t.encode(r[1] or "", add_special_tokens=False).ids, end] for r in rows()}
 
 
@@ -364,7 +397,8 @@ def test_substring_dedup_removes_later_passages(spark):
         if d == 0 or d % 3:
             assert r["text"] == t and r["removed"] == []
         else:
-            assert passage not in r["text"] and len(t) - len(r["text"]) >= len(passage)
+            ends = 2 * 10 * (substring_dedup.SPAN - 1)  # words of ten characters at most
+            assert passage not in r["text"] and len(t) - len(r["text"]) >= len(passage) - ends
             assert t[: t.index(passage)] == r["text"][: t.index(passage)]
     assert out[100]["text"] is None and out[101]["text"] == ""
 
@@ -375,7 +409,7 @@ def test_substring_dedup_cases(spark):
     rows_ = [(5, passage, "x"), (2, again, "y"), (None, passage, "z"), (7, "intro words here. " + passage + " " + passage, "w"), (5, passage, "x")]
     got = substring_dedup.dedup(spark.createDataFrame(rows_, "doc_id long, text string, removed_by string"))
     assert got.columns == ["doc_id", "text", "removed_by", "removed"]
-    texts = sorted((str(r["doc_id"]), len(r["text"]) < 30) for r in got.collect())
+    texts = sorted((str(r["doc_id"]), len(r["text"]) < 90) for r in got.collect())
     assert texts == [("2", False), ("5", True), ("5", True), ("7", True), ("None", True)]
     assert substring_dedup.dedup(spark.createDataFrame([], DOCS)).collect() == []
 
@@ -387,8 +421,8 @@ def test_equal_rows_keep_the_earliest_occurrence(spark):
         out = sorted((r["doc_id"] or 0, r["text"]) for r in substring_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(n)).collect())
         texts = [t for _, t in out]
         assert out.count((5, first)) == 2 and texts.count(second) == 2
-        assert [len(t) < 30 for d, t in out if d == 9] == [True]
-        assert [t.split() for d, t in out if d == 1] == [["ha"] * substring_dedup.LEAST]
+        assert [len(t) < 60 for d, t in out if d == 9] == [True]
+        assert [t.split() for d, t in out if d == 1] == [["ha"] * substring_dedup.WINDOW]
         assert sum(t.startswith(third[:-1]) and len(t) < len(third) + 100 for t in texts) == 2
 
 
@@ -408,30 +442,124 @@ def test_repeats_without_unit_bounds_are_removed(spark):
             assert out[d]["text"] == t and spans == []
         else:
             assert len(spans) == 1 and s <= spans[0][0] and spans[0][1] <= e + 1  # a span ends at the next word
-            assert len(t[spans[0][0] : spans[0][1]].split()) >= 50 - 2 * (substring_dedup.LEAST - 1)
+            assert len(t[spans[0][0] : spans[0][1]].split()) >= 50 - 2 * (substring_dedup.SPAN - 1)
 
 
-def test_chosen_windows_do_not_depend_on_other_texts():
+LINES = "doc_id long, text string, removed string, removed_marks int"
+
+
+def line_corpus(seed):
+    """Texts of short lines from a small pool, with copies, repeated rows, null ids, empty texts and odd line feeds."""
+    rng = random.Random(seed)
+    pool = [prose(rng, rng.randint(1, 6)) for _ in range(40)] + ["", "  ", "***", "Of."]
+    case = [str, str.upper, lambda x: f" {x} !", lambda x: x.replace(" ", ",  ")]
+    data = []
+    for i in range(60):
+        own = [rng.choice(case)(rng.choice(pool)) for _ in range(rng.randint(1, 2))] + [f"line of its own {i}"] * rng.randint(0, 1)
+        rng.shuffle(own)
+        data.append((None if rng.random() < 0.15 else rng.randint(0, 40), "\n".join(own) + "\n" * rng.randint(0, 2), f"r{i}", i))
+    return data + [data[0], data[0], data[7], (None, data[3][1], "n", 0), (None, data[3][1], "m", 0), (50, None, "z", 0), (51, "", "z", 0), (-1, "Of.", "first", 0)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_against_brute_force(spark, seed):
+    data = line_corpus(seed)
+    frame = spark.createDataFrame(data, LINES)
+    hashes = {r["text"]: r["h"] for r in frame.select("text", substring_dedup.text_hash().alias("h")).collect()}
+    first = {}  # a line's words: rank of the earliest occurrence
+    lines = {}
+    for d, t, *_ in data:
+        at = 0
+        lines[d, t] = []
+        for part in (t or "").split("\n"):
+            words = tuple(re.findall(r"[a-z0-9]+", part.lower()))
+            rank = (d is None, d or 0, hashes[t], at)
+            lines[d, t].append((part, words, rank))
+            if words:
+                first[words] = min(first.get(words, rank), rank)
+            at += len(words)
+    want = []
+    for d, t, name, x in data:
+        kept, removed, at = "", [], 0
+        for k, (part, words, rank) in enumerate(lines[d, t]):
+            whole = part + ("\n" if k < len(lines[d, t]) - 1 else "")
+            if words and first[words] != rank:
+                if removed and removed[-1][1] == at:
+                    removed[-1][1] = at + len(whole)
+                else:
+                    removed.append([at, at + len(whole)])
+            else:
+                kept += whole
+            at += len(whole)
+        want.append((str(d), t if t is None else kept, name, x, removed))
+    for n in (1, 5):
+        out = substring_dedup.dedup(frame.repartition(n))
+        assert out.columns == ["doc_id", "text", "removed", "removed_marks", "removed_2"]
+        got = [(str(r["doc_id"]), r["text"], r["removed"], r["removed_marks"], r["removed_2"]) for r in out.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_passages_against_brute_force(spark, monkeypatch):
+    """Windows: what is removed stands earlier; no repeat of RUN words stays but for its ends; settling in parts changes nothing."""
+    rng = random.Random(31)
+    vocab = [f"v{i}" for i in range(4000)]
+    passages = [prose(rng, rng.randint(20, 90), vocab).split() for _ in range(12)]
+    data = []
+    for i in range(70):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            p = rng.choice(passages)
+            a = rng.randrange(0, len(p) // 2)
+            words += prose(rng, rng.randint(1, 30), [f"u{i}_{k}" for k in range(500)]).split() + p[a : a + rng.randint(10, 90)]
+        data.append((i, " ".join(words)))
+    data.append((70, "ha " * 500 + "end of it"))
+    width, run, ends = substring_dedup.WINDOW, substring_dedup.RUN, substring_dedup.SPAN - 1
+    earliest = {}
+    for d, t in data:
+        w = t.split()
+        for k in range(len(w) - width + 1):
+            earliest.setdefault(tuple(w[k : k + width]), (d, k))
+    results = []
+    for held in (substring_dedup.HELD_ENTRIES, 50):
+        monkeypatch.setattr(substring_dedup, "HELD_ENTRIES", held)
+        results.append({r["doc_id"]: r["removed"] for r in substring_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(6)).collect()})
+    assert results[0] == results[1]
+    for d, t in data:
+        w, gone, at = t.split(), [], 0
+        for x in w:
+            gone.append(any(s <= at < e for s, e in results[0][d]))
+            at += len(x) + 1
+        # a window is repeated where its earliest occurrence is elsewhere (and, in the same text, doesn't overlap it)
+        again = [(e := earliest[tuple(w[k : k + width])])[0] != d or k - e[1] >= width for k in range(len(w) - width + 1)]
+        inside = [any(again[max(0, j - width + 1) : j + 1]) for j in range(len(w))]
+        assert all(i for i, g in zip(inside, gone, strict=True) if g)
+        for k in range(len(w) - run - 2 * ends + 1):
+            if all(again[k : k + run + 2 * ends - width + 1]):
+                assert all(gone[k + ends : k + run + ends])
+    assert results[0][0] == [] and results[0][70]
+
+
+def test_units_do_not_depend_on_other_texts():
     rng = random.Random(2)
-    texts = [prose(rng, rng.choice([0, 1, 11, 12, 13, 90])).encode() for _ in range(60)] + [b"a " * 40, b"", b"x"]
+    texts = [prose(rng, rng.choice([0, 1, 11, 12, 13, 90])).encode() for _ in range(60)] + [b"a " * 40, b"", b"x", b"\n\nb c\n--\nd"]
     w = substring_dedup.Words(texts, substring_dedup.ALNUM, latin=True)
-    text, _, _, code = substring_dedup.windows(w)
+    text, _, _, code = substring_dedup.units(w)
     for i, t in enumerate(texts):
-        assert sorted(code[text == i]) == sorted(substring_dedup.windows(substring_dedup.Words([t], substring_dedup.ALNUM, latin=True))[3])
+        assert sorted(code[text == i]) == sorted(substring_dedup.units(substring_dedup.Words([t], substring_dedup.ALNUM, latin=True))[3])
 
 
 def test_earliest_occurrence_against_brute_force():
     rng = np.random.default_rng(4)
     e = np.zeros(500, substring_dedup.ENTRY)
-    e["a"], e["b"], e["doc"], e["word"], e["hash"] = rng.integers(0, 40, 500), rng.integers(0, 2, 500), rng.integers(0, 50, 500), rng.integers(0, 9, 500), 1
+    e["a"], e["b"], e["doc"], e["word"], e["hash"] = rng.integers(0, 40, 500), rng.integers(0, 2, 500), rng.integers(0, 50, 500), 2 * rng.integers(0, 9, 500), 1
     first = {}
-    for i, x in enumerate(e.tolist()):
+    for x in e.tolist():
         key, rank = (x[0], x[2]), (x[1], x[3], x[4])
-        if key not in first or rank < first[key][0]:
-            first[key] = (rank, i)
-    later = set(substring_dedup.later(e).tolist())
-    keep = set(range(500)) - later
-    assert len(keep) == len(first) and all((e["doc"][i], e["hash"][i], e["word"][i]) == first[(e["a"][i], e["b"][i])][0] for i in keep)
+        first[key] = min(first.get(key, rank), rank)
+    marked, left = substring_dedup.settle(e)
+    assert len(left) == len(first) and not set(marked) & set(left)
+    for i, x in enumerate(e.tolist()):
+        assert (i in set(marked.tolist())) == ((x[1], x[3], x[4]) != first[x[0], x[2]])
 
 
 # --- language, quality classifier ---------------------------------------------------------------------------------------------
