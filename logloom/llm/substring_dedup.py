@@ -7,8 +7,8 @@ short units; its default of 1 spares none.
 
 A passage that repeats inside lines that differ has no unit of its own. Therefore windows of ``WINDOW`` words are hashed as
 well, at places that their words choose (see ``chosen_windows``), and grouped in the same way. Runs of at least ``run`` words
-in such windows are removed. At most ``SPAN`` - 1 words at each end of a repeat lie in no chosen window: these (three) may
-stay, and a repeat of ``run`` + 2 * (``SPAN`` - 1) words (31) or more always goes. The original offsets of all that is removed are retained.
+in such windows are removed. At most ``SPAN`` - 1 words at each end of a repeat lie in no chosen window: these (four) may
+stay, and a repeat of ``run`` + 2 * (``SPAN`` - 1) words (33) or more always goes. The original offsets of all that is removed are retained.
 
 Before the shuffle each task drops all but its first occurrence of a digest (the others are marked at once), so a line
 that a third of all documents share reaches its group once per task, and a group that is still long is settled in parts.
@@ -28,13 +28,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, _power, ALNUM, Words, chunks, free_name, materialize, mix, tidy
+from .common import _INVERSE, _power, ALNUM, Words, chunks, free_name, mix, tidy
 
 #: Words of a window, and windows in a row of which one is chosen; words that a run in windows has at least.
-WINDOW, SPAN, RUN = 12, 4, 25
+WINDOW, SPAN, RUN = 12, 5, 25
 #: Bytes of text for each bucket of digests.
 BUCKET_BYTES = 8 << 20
 #: Bytes of text whose digests a task gathers before it sends them.
@@ -130,18 +131,18 @@ def settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return marked, np.delete(np.arange(len(e)), np.concatenate([marked, order[equal & (order != first)]]))
 
 
-def _marks(e: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket null, doc_id, hash, words as packed numbers) of marked entries."""
+def _marks(e: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, doc_id, hash, codes as packed numbers) of marked entries, dealt over the buckets by the text's hash."""
     if len(e):
         e = e[np.lexsort((e["hash"], e["doc"]))]
         cuts = np.flatnonzero((e["doc"][1:] != e["doc"][:-1]) | (e["hash"][1:] != e["hash"][:-1])) + 1
         firsts = np.concatenate([[0], cuts])
-        docs = e["doc"][firsts]
-        words = e["word"].astype("<u4")
-        packed = [x.tobytes() for x in np.split(words, cuts)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(firsts), pa.int32()), pa.array(docs, mask=docs == _NO_ID), pa.array(e["hash"][firsts].astype(np.int64)), pa.array(packed, pa.binary())], names=["bucket", "doc_id", "hash", "packed"])
+        docs, hashes = e["doc"][firsts], e["hash"][firsts].astype(np.int64)
+        packed = [np.unique(x).tobytes() for x in np.split(e["word"].astype("<u4"), cuts)]
+        yield pa.RecordBatch.from_arrays([pa.array((hashes % n_buckets).astype(np.int32)), pa.array(docs, mask=docs == _NO_ID), pa.array(hashes), pa.array(packed, pa.binary())], names=["bucket", "doc_id", "hash", "packed"])
 
 
+#: Entries of a bucket (without hash), or a document's marks.
 _ROWS = "bucket int, doc_id long, hash long, packed binary"
 
 
@@ -154,7 +155,7 @@ def _local(n_buckets: int, least_words: int):
             e = np.concatenate(held)
             held.clear()
             marked, left = settle(e)
-            yield from _marks(e[marked])
+            yield from _marks(e[marked], n_buckets)
             e = e[left]
             bucket = (e["a"] % np.uint64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -185,21 +186,25 @@ def _local(n_buckets: int, least_words: int):
 
 
 def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of a bucket's entries. What is settled on the way is only what some earlier occurrence stands for."""
+    """All marks of a bucket: those that tasks gave, and those of its entries. What is settled on the way is only what some
+    earlier occurrence stands for."""
     held: list[np.ndarray] = []
     size = least = 0
+    own = ["doc_id", "hash", "packed"]
 
     def out() -> Iterator[pa.RecordBatch]:
         nonlocal size, least
         e = np.concatenate(held)
         marked, left = settle(e)
-        for x in _marks(e[marked]):
-            yield x.select(["doc_id", "hash", "packed"])
+        for x in _marks(e[marked], 1):
+            yield x.select(own)
         held[:] = [e[left]]
         size = least = len(left)
 
     for b in batches:
-        for x in b.column(0).to_pylist():
+        given = b.column(b.schema.get_field_index("hash")).is_valid()
+        yield b.filter(given).select(own)
+        for x in b.filter(pc.invert(given)).column(b.schema.get_field_index("packed")).to_pylist():
             held.append(np.frombuffer(x, ENTRY))
             size += len(held[-1])
             if size >= least + HELD_ENTRIES:
@@ -217,11 +222,10 @@ def marked(documents: DataFrame, least_words: int = 1) -> DataFrame:
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // BUCKET_BYTES))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("hash")).where(F.col("text").isNotNull())
-    local = materialize(rows.mapInArrow(tidy(_local(n, least_words)), _ROWS), "unit-digests")
-    spread = local.where(F.col("bucket").isNotNull()).select("bucket", "packed").repartition(n, "bucket").select("packed")
-    found = spread.mapInArrow(tidy(_grouped), "doc_id long, hash long, packed binary")
+    local = rows.mapInArrow(tidy(_local(n, least_words)), _ROWS)
+    marks = local.repartition(n, "bucket").mapInArrow(tidy(_grouped), "doc_id long, hash long, packed binary")
     # a document's marks are at most its units; a text stored again and again without doc_id has a set of them from each task at most
-    return local.where(F.col("bucket").isNull()).select("doc_id", "hash", "packed").unionByName(found).groupBy("doc_id", "hash").agg(F.collect_set("packed").alias("marks"))
+    return marks.groupBy("doc_id", "hash").agg(F.collect_set("packed").alias("marks"))
 
 
 def removed_spans(text: bytes, marks: list[bytes], least_words: int = 1, run: int = RUN) -> list[tuple[int, int]]:
