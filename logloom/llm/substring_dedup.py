@@ -36,8 +36,8 @@ from .common import _INVERSE, _power, ALNUM, Words, chunks, free_name, mix, tidy
 
 #: Words of a window, and windows in a row of which one is chosen; words that a run in windows has at least.
 WINDOW, SPAN, RUN = 12, 5, 25
-#: Bytes of text for each bucket of digests.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for each bucket of digests, and for each bucket of documents' marks.
+BUCKET_BYTES, MARK_BYTES = 8 << 20, 32 << 20
 #: Bytes of text whose digests a task gathers before it sends them.
 SEND_BYTES = 8 << 20
 #: Entries that a group's task holds before it settles them.
@@ -45,6 +45,7 @@ HELD_ENTRIES = 2_000_000
 _NO_ID = np.iinfo(np.int64).max
 #: A digest's occurrence: 96 bits of digest, document (id and hash of its text), code: twice the first word, one more for windows.
 ENTRY = np.dtype([("a", "<u8"), ("doc", "<i8"), ("b", "<u4"), ("hash", "<u4"), ("word", "<u4")])
+MARK = np.dtype([("doc", "<i8"), ("hash", "<u4"), ("word", "<u4")])
 _SECOND = 0xD1B54A32D192ED03
 _LINE = np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -131,22 +132,29 @@ def settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return marked, np.delete(np.arange(len(e)), np.concatenate([marked, order[equal & (order != first)]]))
 
 
-def _marks(e: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, doc_id, hash, codes as packed numbers) of marked entries, dealt over the buckets by the text's hash."""
-    if len(e):
-        e = e[np.lexsort((e["hash"], e["doc"]))]
-        cuts = np.flatnonzero((e["doc"][1:] != e["doc"][:-1]) | (e["hash"][1:] != e["hash"][:-1])) + 1
-        firsts = np.concatenate([[0], cuts])
-        docs, hashes = e["doc"][firsts], e["hash"][firsts].astype(np.int64)
-        packed = [np.unique(x).tobytes() for x in np.split(e["word"].astype("<u4"), cuts)]
-        yield pa.RecordBatch.from_arrays([pa.array((hashes % n_buckets).astype(np.int32)), pa.array(docs, mask=docs == _NO_ID), pa.array(hashes), pa.array(packed, pa.binary())], names=["bucket", "doc_id", "hash", "packed"])
+def _dealt(bucket: np.ndarray, rows: np.ndarray, marks: bool) -> pa.RecordBatch:
+    """Rows (marks, bucket, packed): the ``rows`` packed by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order].astype(np.int32)
+    cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+    firsts = np.concatenate([[0], cuts]) if len(rows) else np.zeros(0, int)
+    packed = [x.tobytes() for x in np.split(rows, cuts)] if len(rows) else []
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(firsts), marks)), pa.array(bucket[firsts]), pa.array(packed, pa.binary())], names=["marks", "bucket", "packed"])
 
 
-#: Entries of a bucket (without hash), or a document's marks.
-_ROWS = "bucket int, doc_id long, hash long, packed binary"
+def _marks(e: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Marked entries, packed by bucket of their documents."""
+    m = np.empty(len(e), MARK)
+    for x in MARK.names:
+        m[x] = e[x]
+    m = np.unique(m)
+    return _dealt(mix(m["doc"].astype(np.uint64) ^ (m["hash"].astype(np.uint64) << np.uint64(32))) % np.uint64(n_buckets), m, True)
 
 
-def _local(n_buckets: int, least_words: int):
+_ROWS = "marks boolean, bucket int, packed binary"
+
+
+def _local(n_buckets: int, n_marks: int, least_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -155,15 +163,9 @@ def _local(n_buckets: int, least_words: int):
             e = np.concatenate(held)
             held.clear()
             marked, left = settle(e)
-            yield from _marks(e[marked], n_buckets)
+            yield _marks(e[marked], n_marks)
             e = e[left]
-            bucket = (e["a"] % np.uint64(n_buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            e, bucket = e[order], bucket[order]
-            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            packed = [x.tobytes() for x in np.split(e, cuts)] if len(e) else []
-            firsts = np.concatenate([[0], cuts]) if len(e) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[firsts]), pa.nulls(len(firsts), pa.int64()), pa.nulls(len(firsts), pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "doc_id", "hash", "packed"])
+            yield _dealt(e["a"] % np.uint64(n_buckets), e, False)
 
         for batch, texts in chunks(batches, "text"):
             w = Words(texts, ALNUM, latin=True)
@@ -185,32 +187,55 @@ def _local(n_buckets: int, least_words: int):
     return run
 
 
-def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All marks of a bucket: those that tasks gave, and those of its entries. What is settled on the way is only what some
-    earlier occurrence stands for."""
-    held: list[np.ndarray] = []
-    size = least = 0
-    own = ["doc_id", "hash", "packed"]
+def _grouped(n_marks: int):
+    """Of a bucket of entries their marks, by bucket of documents; the tasks' own marks pass through. What is settled on the
+    way is only what some earlier occurrence stands for."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = least = 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal size, least
+            e = np.concatenate(held)
+            marked, left = settle(e)
+            held[:] = [e[left]]
+            size = least = len(left)
+            return _marks(e[marked], n_marks)
+
+        for b in batches:
+            given = b.column(b.schema.get_field_index("marks"))
+            yield b.filter(given)
+            for x in b.filter(pc.invert(given)).column(b.schema.get_field_index("packed")).to_pylist():
+                held.append(np.frombuffer(x, ENTRY))
+                size += len(held[-1])
+                if size >= least + HELD_ENTRIES:
+                    yield out()
+        if held:
+            yield out()
+
+    return run
 
-    def out() -> Iterator[pa.RecordBatch]:
-        nonlocal size, least
-        e = np.concatenate(held)
-        marked, left = settle(e)
-        for x in _marks(e[marked], 1):
-            yield x.select(own)
-        held[:] = [e[left]]
-        size = least = len(left)
 
+def _per_document(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, hash, marks) of a bucket of documents: at most as many marks as the documents have units, also where a text
+    is stored again and again without doc_id."""
+    held, size, least = [np.zeros(0, MARK)], 0, 0
     for b in batches:
-        given = b.column(b.schema.get_field_index("hash")).is_valid()
-        yield b.filter(given).select(own)
-        for x in b.filter(pc.invert(given)).column(b.schema.get_field_index("packed")).to_pylist():
-            held.append(np.frombuffer(x, ENTRY))
+        for x in b.column(b.schema.get_field_index("packed")).to_pylist():
+            held.append(np.frombuffer(x, MARK))
             size += len(held[-1])
             if size >= least + HELD_ENTRIES:
-                yield from out()
-    if held:
-        yield from out()
+                held = [np.unique(np.concatenate(held))]
+                size = least = len(held[0])
+    m = np.unique(np.concatenate(held))
+    cuts = np.flatnonzero((m["doc"][1:] != m["doc"][:-1]) | (m["hash"][1:] != m["hash"][:-1])) + 1
+    firsts = np.concatenate([[0], cuts]) if len(m) else np.zeros(0, int)
+    ends = np.append(firsts[1:], len(m))
+    for at in range(0, len(firsts), 10_000):
+        docs = m["doc"][firsts[at : at + 10_000]]
+        packed = [m["word"][a:b].tobytes() for a, b in zip(firsts[at : at + 10_000], ends[at : at + 10_000], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == _NO_ID), pa.array(m["hash"][firsts[at : at + 10_000]].astype(np.int64)), pa.array(packed, pa.binary())], names=["doc_id", "hash", "marks"])
 
 
 def text_hash() -> F.Column:
@@ -219,21 +244,20 @@ def text_hash() -> F.Column:
 
 def marked(documents: DataFrame, least_words: int = 1) -> DataFrame:
     """(doc_id, hash, marks): of each document with marked units their codes, as packed numbers."""
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(size) // BUCKET_BYTES))
+    size = int(documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    n, n_marks = (max(1, -(-size // x)) for x in (BUCKET_BYTES, MARK_BYTES))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("hash")).where(F.col("text").isNotNull())
-    local = rows.mapInArrow(tidy(_local(n, least_words)), _ROWS)
-    marks = local.repartition(n, "bucket").mapInArrow(tidy(_grouped), "doc_id long, hash long, packed binary")
-    # a document's marks are at most its units; a text stored again and again without doc_id has a set of them from each task at most
-    return marks.groupBy("doc_id", "hash").agg(F.collect_set("packed").alias("marks"))
+    local = rows.mapInArrow(tidy(_local(n, n_marks, least_words)), _ROWS).repartition(n, "bucket")
+    found = local.mapInArrow(tidy(_grouped(n_marks)), _ROWS).repartition(n_marks, "bucket")
+    return found.mapInArrow(tidy(_per_document), "doc_id long, hash long, marks binary")
 
 
-def removed_spans(text: bytes, marks: list[bytes], least_words: int = 1, run: int = RUN) -> list[tuple[int, int]]:
+def removed_spans(text: bytes, marks: bytes, least_words: int = 1, run: int = RUN) -> list[tuple[int, int]]:
     """Byte spans to remove, in order and apart: marked lines with their line feeds, and runs of words in marked windows and
     lines, up to the next word or line feed."""
     w = Words([text], ALNUM, latin=True)
     _, first, end, code = units(w, least_words)
-    own = np.isin(code, np.frombuffer(b"".join(marks), "<u4"))
+    own = np.isin(code, np.frombuffer(marks, "<u4"))
     lines = own & (code & 1 == 0)
     feeds = np.concatenate([[-1], np.flatnonzero(w.raw == 10)])  # the last one is beyond the text
     at = np.searchsorted(feeds, w.starts[first[lines]])
