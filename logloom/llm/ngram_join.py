@@ -11,6 +11,7 @@ intersection has at least three quarters of the union's size.
 3. The keys that share such a shingle are a list. First each key is compared with the key that is the least one of most
    of its lists; the links give first components. Lists inside one component have nothing more to tell. In two further
    rounds a few members of components that share lists are compared, so that a large group becomes one component early.
+   Both only look at pairs that share a quarter of the shingles sent (of linked sets most are shared); all others are left to the trees.
 4. In every other list the keys' signatures (bitmaps of their shingles) are put in a tree ordered by size, whose nodes
    hold the bitmaps' union and the range of sizes. A traversal of the tree with itself drops pairs of nodes whose
    greatest possible overlap is too small, whose sizes differ too much, or that are one component. Long lists are cut into
@@ -192,8 +193,8 @@ def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of a set: a power of two of bits, eight times its size at least (64 to 524288); bit hash mod width."""
-    width = min(1 << 19, max(64, 1 << (8 * len(s) - 1).bit_length()))
+    """A bitmap of a set: a power of two of bits, four times its size at least (64 to 524288); bit hash mod width."""
+    width = min(1 << 19, max(64, 1 << (4 * len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -370,11 +371,11 @@ def classes(documents: DataFrame, certainty: int | None = None) -> tuple[DataFra
     wanted = lists.select("key").distinct()
     texts = materialize(_own_texts(documents, reps.join(wanted, "key", "left_semi")).dropDuplicates(["key"]), "compared-texts")
 
-    stars = lists.where("key <> center").groupBy("key", "center").agg(F.sum("weight").alias("w")).groupBy("key").agg(F.max(F.struct("w", (-F.col("center")).alias("c"))).alias("best"))
+    stars = lists.where("key <> center").groupBy("key", "center").agg(F.sum("weight").alias("w"), F.max("n").alias("n")).where("16 * w >= n").groupBy("key").agg(F.max(F.struct("w", (-F.col("center")).alias("c"))).alias("best"))
     n_parts = max(1, n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = materialize(_links(stars.select((-F.col("best.c")).alias("a"), F.col("key").alias("b")), texts, n_parts), "first-links")
     labels = _merged(wanted.withColumn("label", F.col("key")), first)
-    members = _open(lists.select(*_MEMBER).distinct(), labels)
+    members = _open(lists.groupBy(*_MEMBER[:-1]).agg(F.sum("weight").alias("weight")), labels)
     for trial in range(ROUNDS):
         if members.isEmpty():
             break
@@ -410,7 +411,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(found, F.col("label") == F.col("node"), "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
 
 
-_MEMBER = ("list", "parts", "part", "key", "n")
+_MEMBER = ("list", "parts", "part", "key", "n", "weight")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -426,14 +427,15 @@ def _trials(members: DataFrame, trial: int) -> DataFrame:
     """Pairs (a, b) to compare before the trees are: in each list a member of the largest component with one of each other
     component, and for any two components ``TRIALS`` of these pairs. Their links spare the trees most pairs of one group."""
     own = F.struct(F.xxhash64("key", "list", F.lit(trial)).alias("h"), "key", "n")
-    reps = members.groupBy("list", "label").agg(F.min(own).alias("rep"), F.count("*").alias("size"), F.max("parts").alias("parts"))
+    reps = members.groupBy("list", "label").agg(F.min(own).alias("rep"), F.count("*").alias("size"), F.max("parts").alias("parts"), F.max("weight").alias("weight"))
     center = reps.groupBy("list").agg(F.max(F.struct("size", F.col("label").alias("l"), F.col("rep.key").alias("a"), F.col("rep.n").alias("m"))).alias("c"), F.max("parts").alias("parts"))
     dealt = center.select("list", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     near = reps.withColumn("salt", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int")).join(dealt, ["list", "salt"])
     met = near.where((F.col("label") != F.col("c.l")) & (F.col("rep.n") * 4 >= F.col("c.m") * 3) & (F.col("c.m") * 4 >= F.col("rep.n") * 3))
-    pairs = met.select(F.col("c.l").alias("l"), "label", F.col("c.a").alias("a"), F.col("rep.key").alias("b")).distinct()
-    order = Window.partitionBy("l", "label").orderBy(F.xxhash64("a", "b", F.lit(trial)))
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TRIALS).select("a", "b").distinct()
+    pairs = met.groupBy(F.col("c.l").alias("l"), "label", F.col("c.a").alias("a"), F.col("rep.key").alias("b")).agg(F.sum("weight").alias("w"), F.max("c.m").alias("m"))
+    both = Window.partitionBy("l", "label")
+    ranked = pairs.withColumn("rank", F.row_number().over(both.orderBy(F.xxhash64("a", "b", F.lit(trial))))).withColumn("shared", F.sum("w").over(both))
+    return ranked.where((F.col("rank") <= TRIALS) & (F.col("shared") * 16 >= F.col("m"))).select("a", "b").distinct()
 
 
 def _labelled(documents: DataFrame, certainty: int | None) -> DataFrame:
