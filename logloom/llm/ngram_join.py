@@ -7,6 +7,8 @@ intersection has at least three quarters of the union's size.
 2. Shingles are ordered by (frequent, hash). Linked sets share one of their first n/4 + 1 shingles in any common
    order; so many are sent. Frequent shingles come last, so a passage that many documents share doesn't bring
    them together. The list of frequent shingles has a fixed greatest length; it only sets the order, so it can't cost a link.
+   Sets that have their first common shingle at places i and j (from 0) share no more than the shingles from there on, so
+   each entry tells the greatest size of a set that it can still link with; entries without such a partner are dropped.
    (With ``certainty``, as an option, at most as many are sent as leave a chance below 2**-``certainty`` to miss a link.)
 3. The keys that share such a shingle are a list. First each key is compared with the key that is the least one of most
    of its lists; the links give first components. Lists inside one component have nothing more to tell. In two further
@@ -50,7 +52,7 @@ LEAF, FAN = 16, 4
 #: Rounds of comparing members of components that share lists, and pairs of members for two components in each.
 ROUNDS, TRIALS = 2, 4
 
-_ENTRY = np.dtype([("h", "<u8"), ("key", "<i8"), ("n", "<u4")])
+_ENTRY = np.dtype([("h", "<u8"), ("key", "<i8"), ("n", "<u4"), ("most", "<u4")])
 
 
 def set_key(s: np.ndarray) -> int:
@@ -78,6 +80,11 @@ def n_sent(n: int, frequent: int, certainty: int | None = None) -> int:
     return min(exact, math.ceil(certainty * math.log(2) / -math.log(miss)))
 
 
+def most_at(n: int, k: int) -> np.ndarray:
+    """For the first ``k`` places of a set of ``n``: the size of the largest set that links with it if no shingle before is common."""
+    return 7 * (n - np.arange(k)) // 3 - n
+
+
 # --- 1: classes -------------------------------------------------------------------------------------------------------
 
 
@@ -143,7 +150,7 @@ def _send(n_buckets: int, frequent, certainty: int | None):
                 k = n_sent(n, n_late, certainty)
                 first = s[:k] if not n_late else np.concatenate([s[~late], s[late]])[:k]
                 e = np.empty(len(first), _ENTRY)
-                e["h"], e["key"], e["n"] = first, key, n
+                e["h"], e["key"], e["n"], e["most"] = first, key, n, most_at(n, len(first))
                 held.append(e)
                 size += len(e)
             if size >= 300_000:
@@ -155,8 +162,25 @@ def _send(n_buckets: int, frequent, certainty: int | None):
     return run
 
 
+def _with_partners(e: np.ndarray) -> np.ndarray:
+    """The entries (by shingle) that are with another one neither of which is too large for the other."""
+    if not len(e):
+        return e
+    firsts = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]]))
+    counts = np.diff(np.append(firsts, len(e)))
+    n, most = e["n"].astype(np.int64), e["most"].astype(np.int64)
+    fits = np.repeat(counts > 1, counts)
+    for own, limit in ((n, most), (-most, -n)):  # some other one's size within the limit, some other one's limit at least the size
+        least = np.repeat(np.minimum.reduceat(own, firsts), counts)
+        at_least = own == least
+        alone = at_least & (np.repeat(np.add.reduceat(at_least, firsts, dtype=np.int64), counts) == 1)
+        next_least = np.repeat(np.minimum.reduceat(np.where(at_least, np.iinfo(np.int64).max, own), firsts), counts)
+        fits &= np.where(alone, next_least, least) <= limit
+    return e[fits]
+
+
 def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (list, parts, part, key, n, center, weight): the distinct lists of a bucket's shingles, and how many shingles have each."""
+    """Rows (list, parts, part, key, n, most, center, weight): the distinct lists of a bucket's shingles, and how many shingles have each."""
     held = [np.frombuffer(x, _ENTRY) for b in batches for x in b.column(0).to_pylist()]
     if not held:
         return
@@ -169,32 +193,34 @@ def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e = e[np.lexsort((e["key"], e["h"]))]
     new = np.ones(len(e), bool)
     new[1:] = (e["h"][1:] != e["h"][:-1]) | (e["key"][1:] != e["key"][:-1])
-    e = e[new]
-    firsts = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]])) if len(e) else np.zeros(0, int)
-    counts = np.diff(np.append(firsts, len(e)))
-    firsts, counts = firsts[counts > 1], counts[counts > 1]
-    if not len(firsts):
+    e = _with_partners(_with_partners(e[new]))
+    if not len(e):
         return
-    mixed = mix(e["key"].copy().view(np.uint64))
-    ends = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
-    list_id = mix(ends[firsts + counts] - ends[firsts] + counts.astype(np.uint64))
-    ids, which, weight = np.unique(list_id, return_index=True, return_counts=True)
-    firsts, counts = firsts[which], counts[which]
-    for a in range(0, len(ids), 100_000):
-        f, c = firsts[a : a + 100_000], counts[a : a + 100_000]
-        rows = np.repeat(f - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-        parts = np.repeat(-(-c // PART), c)
-        columns = [np.repeat(ids[a : a + 100_000].view(np.int64), c), parts.astype(np.int32), (mixed[rows] % parts.astype(np.uint64)).astype(np.int32), e["key"][rows].copy()]
-        columns += [e["n"][rows].astype(np.int64), np.repeat(e["key"][f], c), np.repeat(weight[a : a + 100_000], c).astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["list", "parts", "part", "key", "n", "center", "weight"])
+    firsts = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]]))
+    counts = np.diff(np.append(firsts, len(e)))
+    ends = np.concatenate([[np.uint64(0)], np.cumsum(mix(e["key"].copy().view(np.uint64)))])
+    ids, of, weight = np.unique(mix(ends[firsts + counts] - ends[firsts] + counts.astype(np.uint64)), return_inverse=True, return_counts=True)
+    which = np.repeat(of, counts)
+    order = np.lexsort((e["key"], which))
+    e, which = e[order], which[order]
+    firsts = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (e["key"][1:] != e["key"][:-1])]))
+    most = np.maximum.reduceat(e["most"], firsts)  # the greatest limit of a key among the shingles with one list
+    e, which = e[firsts], which[firsts]
+    starts = np.searchsorted(which, np.arange(len(ids) + 1))
+    parts = -(-np.diff(starts) // PART)
+    for a in range(0, len(e), 500_000):
+        own, w, keys = e[a : a + 500_000], which[a : a + 500_000], e["key"][a : a + 500_000].copy()
+        part = mix(keys.view(np.uint64)) % parts[w].astype(np.uint64)
+        columns = [ids.view(np.int64)[w], parts[w].astype(np.int32), part.astype(np.int32), keys, own["n"].astype(np.int64), most[a : a + 500_000].astype(np.int64), e["key"][starts[w]], weight[w].astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["list", "parts", "part", "key", "n", "most", "center", "weight"])
 
 
 # --- 4: signature trees ------------------------------------------------------------------------------------------------
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of a set: a power of two of bits, four times its size at least (64 to 524288); bit hash mod width."""
-    width = min(1 << 19, max(64, 1 << (4 * len(s) - 1).bit_length()))
+    """A bitmap of a set: a power of two of bits, eight times its size at least (64 to 524288); bit hash mod width."""
+    width = min(1 << 19, max(64, 1 << (8 * len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -214,6 +240,7 @@ class Node:
     def __init__(self, tree: SignatureTree, first: int, last: int):
         self.tree, self.first, self.last = tree, first, last
         self.low, self.high = int(tree.n[first]), int(tree.n[last - 1])
+        self.most = int(tree.most[first:last].max())
         own = tree.labels[first:last]
         self.label = own[0] if (own == own[0]).all() else None
         self.width = min(tree.bitmaps[i].shape[0] for i in (first, last - 1))
@@ -236,11 +263,12 @@ class Node:
 
 
 class SignatureTree:
-    """Sets ordered by size. ``pairs(other)`` gives the pairs of sets that may link and aren't one component yet."""
+    """Sets ordered by size. ``pairs(other)`` gives the pairs of sets that may link and aren't one component yet; ``most`` bounds each one's partners."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, labels: np.ndarray, signatures: list[bytes]):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, labels: np.ndarray, signatures: list[bytes], most: np.ndarray | None = None):
         order = np.lexsort((keys, n))
         self.keys, self.n, self.labels = keys[order], n[order], labels[order]
+        self.most = most[order] if most is not None else 2 * self.n
         self.bitmaps = [np.frombuffer(signatures[i], "<u8") for i in order]
         self.root = Node(self, 0, len(keys))
 
@@ -251,7 +279,7 @@ class SignatureTree:
         todo = [(self.root, other.root)]
         while todo:
             a, b = todo.pop()
-            if 4 * a.high < 3 * b.low or 4 * b.high < 3 * a.low or (a.label is not None and a.label == b.label):
+            if 4 * a.high < 3 * b.low or 4 * b.high < 3 * a.low or a.most < b.low or b.most < a.low or (a.label is not None and a.label == b.label):
                 continue
             width = min(a.width, b.width)
             (union_a, more_a), (union_b, more_b) = a.at(width), b.at(width)
@@ -276,6 +304,7 @@ class SignatureTree:
         only_y = np.bitwise_count(y).sum(axis=1).astype(np.int64)[None, :] - both
         most = np.minimum(n - only_x, m - only_y)
         may = (7 * most >= 3 * (n + m)) & (s.labels[a.first : a.last][:, None] != t.labels[b.first : b.last][None, :])
+        may &= (m <= s.most[a.first : a.last][:, None]) & (n <= t.most[b.first : b.last][None, :])
         if a is b:
             may &= np.triu(np.ones_like(may), 1)
         for i, j in zip(*np.nonzero(may), strict=True):
@@ -287,10 +316,10 @@ def _traversals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def grouped():
         for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            yield from zip(*(b.column(c).to_pylist() for c in ("list", "x", "y", "block", "key", "n", "label", "signature")), strict=True)
+            yield from zip(*(b.column(c).to_pylist() for c in ("list", "x", "y", "block", "key", "n", "label", "signature", "most")), strict=True)
 
     def tree(rows):
-        return SignatureTree(np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64), np.array([r[6] for r in rows], np.int64), [r[7] for r in rows])
+        return SignatureTree(np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64), np.array([r[6] for r in rows], np.int64), [r[7] for r in rows], np.array([r[8] for r in rows], np.int64))
 
     pairs: set[tuple[int, int]] = set()
 
@@ -365,7 +394,7 @@ def classes(documents: DataFrame, certainty: int | None = None) -> tuple[DataFra
     n_buckets = max(1, -(-int(total) // BUCKET))
 
     sent = rows.select("text").where(F.col("text").isNotNull()).mapInArrow(tidy(_send(n_buckets, spark.sparkContext.broadcast(hot), certainty)), "bucket int, packed binary")
-    lists = materialize(sent.repartition(n_buckets, "bucket").select("packed").mapInArrow(tidy(_lists), "list long, parts int, part int, key long, n long, center long, weight long"), "shingle-lists")
+    lists = materialize(sent.repartition(n_buckets, "bucket").select("packed").mapInArrow(tidy(_lists), "list long, parts int, part int, key long, n long, most long, center long, weight long"), "shingle-lists")
 
     reps = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = lists.select("key").distinct()
@@ -375,7 +404,7 @@ def classes(documents: DataFrame, certainty: int | None = None) -> tuple[DataFra
     n_parts = max(1, n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = materialize(_links(stars.select((-F.col("best.c")).alias("a"), F.col("key").alias("b")), texts, n_parts), "first-links")
     labels = _merged(wanted.withColumn("label", F.col("key")), first)
-    members = _open(lists.groupBy(*_MEMBER[:-1]).agg(F.sum("weight").alias("weight")), labels)
+    members = _open(lists.groupBy(*_MEMBER[:-2]).agg(F.max("most").alias("most"), F.sum("weight").alias("weight")), labels)
     for trial in range(ROUNDS):
         if members.isEmpty():
             break
@@ -399,7 +428,7 @@ def _tree_pairs(members: DataFrame, texts: DataFrame, n_parts: int) -> DataFrame
     blocks = F.expr(f"(parts + {BLOCK - 1}) div {BLOCK}").cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     dealt = members.withColumn("block", F.expr(f"part div {BLOCK}").cast("int")).withColumn("other", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    dealt = dealt.join(signed, "key").select("list", "x", "y", "block", "key", "n", "label", "signature")
+    dealt = dealt.join(signed, "key").select("list", "x", "y", "block", "key", "n", "label", "signature", "most")
     return dealt.repartition(n_parts, "list", "x", "y").sortWithinPartitions("list", "x", "y").mapInArrow(tidy(_traversals), "a long, b long").distinct()
 
 
@@ -411,7 +440,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(found, F.col("label") == F.col("node"), "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
 
 
-_MEMBER = ("list", "parts", "part", "key", "n", "weight")
+_MEMBER = ("list", "parts", "part", "key", "n", "most", "weight")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
