@@ -5,15 +5,15 @@ intersection has at least three quarters of the union's size.
 
 1. Documents with equal sets form a class (one key); one member stands for it.
 2. Shingles are ordered by (frequent, hash). Linked sets share one of their first n/4 + 1 shingles in any common
-   order; so many are sent. Frequent shingles come last, so a passage that many documents share doesn't bring
+   order. Since the order is random among shingles that aren't frequent, the first K shingles already miss a link with
+   a chance below 2**-``certainty`` (K is 41 for 64 bits where no shingle is frequent, more where many are); the lesser
+   of the two counts is sent, and with ``certainty=None`` always the exact one. Frequent shingles come last, so a passage that many documents share doesn't bring
    them together. The list of frequent shingles has a fixed greatest length; it only sets the order, so it can't cost a link.
    Sets that have their first common shingle at places i and j (from 0) share no more than the shingles from there on, so
    each entry tells the greatest size of a set that it can still link with; entries without such a partner are dropped.
-   (With ``certainty``, as an option, at most as many are sent as leave a chance below 2**-``certainty`` to miss a link.)
 3. The keys that share such a shingle are a list. First each key is compared with the key that is the least one of most
    of its lists; the links give first components. Lists inside one component have nothing more to tell. In two further
    rounds a few members of components that share lists are compared, so that a large group becomes one component early.
-   Both only look at pairs that share a quarter of the shingles sent (of linked sets most are shared); all others are left to the trees.
 4. In every other list the keys' signatures (bitmaps of their shingles) are put in a tree ordered by size, whose nodes
    hold the bitmaps' union and the range of sizes. A traversal of the tree with itself drops pairs of nodes whose
    greatest possible overlap is too small, whose sizes differ too much, or that are one component. Long lists are cut into
@@ -44,6 +44,7 @@ from .components import connected_components
 
 #: Shingles that are ordered last as frequent: at most so many, found so often at least.
 FREQUENT, FREQUENT_AT = 200_000, 64
+CERTAINTY = 64
 #: Bytes of text that a task looks at together.
 GROUP_BYTES = 8 << 20
 #: Shingles of a bucket, keys of a part of a list, parts of a block, partners of a key in one task.
@@ -71,7 +72,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(x) + len(y) - both)
 
 
-def n_sent(n: int, frequent: int, certainty: int | None = None) -> int:
+def n_sent(n: int, frequent: int, certainty: int | None = CERTAINTY) -> int:
     """How many of a set's first shingles are sent, of which so many of the set are frequent."""
     exact = n // 4 + 1
     if certainty is None or 3 * (n - frequent) <= n:
@@ -382,7 +383,7 @@ def _own_texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "key long, text string")
 
 
-def classes(documents: DataFrame, certainty: int | None = None) -> tuple[DataFrame, DataFrame]:
+def classes(documents: DataFrame, certainty: int | None = CERTAINTY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, hash of the text, key, n) of all rows, and (node, label) of the keys that link with others."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -400,11 +401,11 @@ def classes(documents: DataFrame, certainty: int | None = None) -> tuple[DataFra
     wanted = lists.select("key").distinct()
     texts = materialize(_own_texts(documents, reps.join(wanted, "key", "left_semi")).dropDuplicates(["key"]), "compared-texts")
 
-    stars = lists.where("key <> center").groupBy("key", "center").agg(F.sum("weight").alias("w"), F.max("n").alias("n")).where("16 * w >= n").groupBy("key").agg(F.max(F.struct("w", (-F.col("center")).alias("c"))).alias("best"))
+    stars = lists.where("key <> center").groupBy("key", "center").agg(F.sum("weight").alias("w")).groupBy("key").agg(F.max(F.struct("w", (-F.col("center")).alias("c"))).alias("best"))
     n_parts = max(1, n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = materialize(_links(stars.select((-F.col("best.c")).alias("a"), F.col("key").alias("b")), texts, n_parts), "first-links")
     labels = _merged(wanted.withColumn("label", F.col("key")), first)
-    members = _open(lists.groupBy(*_MEMBER[:-2]).agg(F.max("most").alias("most"), F.sum("weight").alias("weight")), labels)
+    members = _open(lists.groupBy(*_MEMBER[:-1]).agg(F.max("most").alias("most")), labels)
     for trial in range(ROUNDS):
         if members.isEmpty():
             break
@@ -440,7 +441,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(found, F.col("label") == F.col("node"), "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
 
 
-_MEMBER = ("list", "parts", "part", "key", "n", "most", "weight")
+_MEMBER = ("list", "parts", "part", "key", "n", "most")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -456,15 +457,14 @@ def _trials(members: DataFrame, trial: int) -> DataFrame:
     """Pairs (a, b) to compare before the trees are: in each list a member of the largest component with one of each other
     component, and for any two components ``TRIALS`` of these pairs. Their links spare the trees most pairs of one group."""
     own = F.struct(F.xxhash64("key", "list", F.lit(trial)).alias("h"), "key", "n")
-    reps = members.groupBy("list", "label").agg(F.min(own).alias("rep"), F.count("*").alias("size"), F.max("parts").alias("parts"), F.max("weight").alias("weight"))
+    reps = members.groupBy("list", "label").agg(F.min(own).alias("rep"), F.count("*").alias("size"), F.max("parts").alias("parts"))
     center = reps.groupBy("list").agg(F.max(F.struct("size", F.col("label").alias("l"), F.col("rep.key").alias("a"), F.col("rep.n").alias("m"))).alias("c"), F.max("parts").alias("parts"))
     dealt = center.select("list", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     near = reps.withColumn("salt", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int")).join(dealt, ["list", "salt"])
     met = near.where((F.col("label") != F.col("c.l")) & (F.col("rep.n") * 4 >= F.col("c.m") * 3) & (F.col("c.m") * 4 >= F.col("rep.n") * 3))
-    pairs = met.groupBy(F.col("c.l").alias("l"), "label", F.col("c.a").alias("a"), F.col("rep.key").alias("b")).agg(F.sum("weight").alias("w"), F.max("c.m").alias("m"))
-    both = Window.partitionBy("l", "label")
-    ranked = pairs.withColumn("rank", F.row_number().over(both.orderBy(F.xxhash64("a", "b", F.lit(trial))))).withColumn("shared", F.sum("w").over(both))
-    return ranked.where((F.col("rank") <= TRIALS) & (F.col("shared") * 16 >= F.col("m"))).select("a", "b").distinct()
+    pairs = met.select(F.col("c.l").alias("l"), "label", F.col("c.a").alias("a"), F.col("rep.key").alias("b")).distinct()
+    order = Window.partitionBy("l", "label").orderBy(F.xxhash64("a", "b", F.lit(trial)))
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TRIALS).select("a", "b").distinct()
 
 
 def _labelled(documents: DataFrame, certainty: int | None) -> DataFrame:
@@ -474,14 +474,14 @@ def _labelled(documents: DataFrame, certainty: int | None) -> DataFrame:
     return materialize(found.select("doc_id", "hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("label")), "labelled")
 
 
-def join_documents(documents: DataFrame, certainty: int | None = None) -> DataFrame:
+def join_documents(documents: DataFrame, certainty: int | None = CERTAINTY) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     labelled = _labelled(documents, certainty)
     least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").withColumnRenamed("label", "l")
     return labelled.join(least, F.col("label") == F.col("l"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("size") > 1, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(documents: DataFrame, certainty: int | None = None) -> DataFrame:
+def keep_one(documents: DataFrame, certainty: int | None = CERTAINTY) -> DataFrame:
     """One document of each component, with all columns: the one of the least doc_id (rows without one come last), then of the
     least hash of its text. Rows with the same doc_id and text are one document. Documents without words all stay."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")).alias("k")

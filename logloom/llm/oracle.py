@@ -73,4 +73,4 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
  NOT base_failed AND NOT ({beyond}) AS kept FROM m"""
 
 
-ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "op4_decontamination": OP4, "op5_chat_formatting": OP5, "op6_quality_rules": _op6()}
+ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "ngram_join_exact": OP1, "op4_decontamination": OP4, "op5_chat_formatting": OP5, "op6_quality_rules": _op6()}

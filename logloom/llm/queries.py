@@ -38,6 +38,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(_table(spark, sf_dir, "documents"))
 
 
+def ngram_join_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as op1, with every shingle of the exact prefix sent."""
+    from .ngram_join import join_documents
+
+    return join_documents(_table(spark, sf_dir, "documents"), certainty=None)
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -78,4 +85,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_packing, op4_decontamination, op5_chat_formatting, op6_quality_rules, op7_quality_classifier, op8_language_id, op9_substring_dedup, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_packing, op4_decontamination, op5_chat_formatting, op6_quality_rules, op7_quality_classifier, op8_language_id, op9_substring_dedup, op10_token_output, ngram_join_exact)}
