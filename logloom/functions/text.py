@@ -27,11 +27,17 @@ _FIELDS = "[^\\t\\n\\x0B\\f\\r ]+"
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for the empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    """Shannon entropy of the characters in bits; 0 for the empty text. One pass over the sorted characters: a run of k of them
+    adds k * log2(k), the difference k * log2(k) - (k - 1) * log2(k - 1) for each of its characters."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
     n = F.size(chars).cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
-    return F.when(n > 0, F.aggregate(counts, F.lit(0.0), lambda a, k: a - (k / n) * F.log2(k / n))).otherwise(0.0)
+
+    def step(a: Column, c: Column) -> Column:
+        k = F.when(c == a["last"], a["k"] + 1.0).otherwise(1.0)
+        return F.struct(c.alias("last"), k.alias("k"), (a["sum"] + F.when(k > 1.0, k * F.log2(k) - (k - 1.0) * F.log2(k - 1.0)).otherwise(0.0)).alias("sum"))
+
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sum"))
+    return F.when(n > 0, F.aggregate(chars, start, step, lambda a: F.greatest(F.log2(n) - a["sum"] / n, F.lit(0.0)))).otherwise(0.0)
 
 
 def text_features(m: Column) -> dict[str, Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import promql
@@ -60,38 +60,48 @@ RULES = (
 
 def evaluate(samples: DataFrame, rule: Rule, keys: list[str]) -> DataFrame:
     """alert, severity, keys, us, value, state of one rule; ``samples`` has metric, keys, us, value (and le for quantiles)."""
-    own = samples.where(F.col("metric") == rule.metric)
-    on = [*keys, "us"]
+    return evaluate_all(samples, keys, (rule,))
 
-    def rated(rows: DataFrame, by: list[str]) -> DataFrame:
-        return promql.with_rate(rows, by, "us", "value", rule.window, "value")
 
-    if rule.kind == "rate":
-        rows = rated(own, keys)
-    elif rule.kind == "increase":
-        rows = promql.with_increase(own, keys, "us", "value", rule.window, "value")
-    elif rule.kind == "deriv":
-        rows = promql.with_deriv(own, keys, "us", "value", rule.window, "value")
-    elif rule.kind == "sum":
-        rows = own.groupBy(*on).agg(F.sum("value").alias("value"))
-    elif rule.kind == "quantile":
-        rows = promql.histogram_quantile(rated(own, [*keys, "le"]), on, "le", "value", rule.q, "value")
-    elif rule.kind in ("ratio", "rate_ratio"):
-        other = samples.where(F.col("metric") == rule.other)
-        if rule.kind == "rate_ratio":
-            own, other = rated(own, keys), rated(other, keys)
-        rows = promql.binary(own.select(*on, "value"), other.select(*on, "value"), on, "/")
-    else:
-        rows = own
-    value = F.col("value") * rule.scale
-    condition = {">": value > rule.limit, "<": value < rule.limit, "==": value == rule.limit}[rule.op]
-    state = promql.held(rows.select(*on, "value"), keys, "us", condition, rule.hold)
-    return state.select(F.lit(rule.name).alias("alert"), F.lit(rule.severity).alias("severity"), *on, value.alias("value"), "state")
+def evaluate_all(samples: DataFrame, keys: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The same for all rules together: each sample is dealt to the rules that read its metric, and rules of one kind share every
+    shuffle (windows by rule and series, values by rule, series and time, states by rule and series)."""
+    if "le" not in samples.columns:
+        samples = samples.withColumn("le", F.lit(None).cast("double"))
+    fields = ("alert", "severity", "kind", "op", "limit", "hold", "window", "scale", "q")
 
+    def read(r: Rule, other: bool) -> Column:
+        given = (r.name, r.severity, r.kind, r.op, float(r.limit), r.hold, r.window, float(r.scale), float(r.q))
+        return F.struct(*(F.lit(v).alias(k) for k, v in zip(fields, given, strict=True)), F.lit(other).alias("other"))
 
-def evaluate_all(samples: DataFrame, keys: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    out = None
+    of_metric: dict[str, list[Column]] = {}
     for r in rules:
-        one = evaluate(samples, r, keys)
-        out = one if out is None else out.unionByName(one)
-    return out
+        of_metric.setdefault(r.metric, []).append(read(r, False))
+        if r.other:
+            of_metric.setdefault(r.other, []).append(read(r, True))
+    chosen = None
+    for metric, readers in of_metric.items():
+        chosen = F.when(F.col("metric") == metric, F.array(*readers)) if chosen is None else chosen.when(F.col("metric") == metric, F.array(*readers))
+    dealt = samples.where(F.col("metric").isin(*of_metric)).select(*keys, "us", "le", "value", F.explode(chosen).alias("r")).select(*keys, "us", "le", "value", "r.*")
+    kinds = {r.kind for r in rules}
+    series = ["alert", "other", *keys, "le"]
+    grown, sloped = F.col("kind").isin("rate", "rate_ratio", "quantile", "increase"), F.col("kind") == "deriv"
+    parts = []
+    if kinds & {"rate", "rate_ratio", "quantile", "increase"}:
+        rows = promql.with_increase(dealt.where(grown), series, "us", "value", F.col("window"), "value")
+        parts.append(rows.withColumn("value", F.when(F.col("kind") == "increase", F.col("value")).otherwise(F.col("value") / F.col("window"))))
+    if "deriv" in kinds:
+        parts.append(promql.with_deriv(dealt.where(sloped), series, "us", "value", F.col("window"), "value"))
+    if kinds - {"rate", "rate_ratio", "quantile", "increase", "deriv"}:
+        parts.append(dealt.where(~grown & ~sloped))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    own, other = F.when(~F.col("other"), F.col("value")), F.when(F.col("other"), F.col("value"))
+    at = rows.groupBy(*fields, *keys, "us").agg(F.sum(own).alias("own"), F.first(other, ignorenulls=True).alias("against"), F.count_if("other").alias("others"), F.collect_list(F.when(F.col("kind") == "quantile", F.struct("le", F.col("value").cast("double").alias("c")))).alias("b"))
+    ratio = F.col("kind").isin("ratio", "rate_ratio")
+    at = at.where(~ratio | ((F.col("others") > 0) & F.col("own").isNotNull()))
+    value = F.when(ratio, F.try_divide("own", "against")).when(F.col("kind") == "quantile", promql.quantile_of(F.array_sort("b"), F.col("q"))).otherwise(F.col("own")) * F.col("scale")
+    valued = at.withColumn("value", value)
+    condition = F.when(F.col("op") == ">", F.col("value") > F.col("limit")).when(F.col("op") == "<", F.col("value") < F.col("limit")).otherwise(F.col("value") == F.col("limit"))
+    return promql.held(valued, ["alert", *keys], "us", condition, F.col("hold")).select("alert", "severity", *keys, "us", "value", "state")

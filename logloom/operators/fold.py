@@ -1,7 +1,8 @@
 """Sequential folds over the records of a key in order, in constant memory per key.
 
 Rows are dealt by key and sorted by Spark (which spills); a task then streams through them and keeps one small state. What
-follows from a whole history can't be split, but no key's rows are ever gathered.
+follows from a whole history can't be split, but no key's rows are ever gathered. Rows that are equal in the order go by
+their inputs, so the result doesn't depend on how they were dealt.
 """
 
 from __future__ import annotations
@@ -35,4 +36,4 @@ def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], st
             yield pa.RecordBatch.from_arrays([*(b.column(at(c)) for c in columns), *(pa.array(c, _TYPES[t]) for c, t in zip(cols, out.values(), strict=True))], names=[*columns, *out])
 
     dealt = df.repartition(*keys) if keys else df.coalesce(1)
-    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*dict.fromkeys([*keys, *order, *inputs])).mapInArrow(run, schema)

@@ -140,34 +140,39 @@ def degraded_features(level: Column) -> Column:
     return out.otherwise(F.array().cast("array<string>"))
 
 
-def circuit_breaker(df: DataFrame, keys: list[str], seconds: str, ok: str, threshold: int = 5, open_s: float = 30.0, successes: int = 3, half_open_calls: int = 3) -> DataFrame:
-    """``allowed`` and the breaker's ``state`` after each attempt. A success takes one failure back while closed."""
-
-    def step(s, t, good):
-        state, fails, wins, calls, since = s
-        if state == "open" and t - since >= open_s:
-            state, wins, calls, since = "half_open", 0, 0, t
-        if state == "half_open" and t - since >= 2 * open_s:
-            state, since = "open", t
-        if state == "open" or state == "half_open" and calls >= half_open_calls:
-            return (state, fails, wins, calls, since), (False, state)
-        if state == "half_open":
-            calls += 1
-            if good:
-                wins += 1
-                if wins >= successes:
-                    state, fails = "closed", 0
-            else:
-                state, since = "open", t
-        elif good:
-            fails = max(0, fails - 1)
+#: A breaker's state before its first attempt: name, failures, successes and calls while half open, time of the last change.
+BREAKER_START = ("closed", 0, 0, 0, 0.0)
+
+
+def breaker_step(s: tuple, t: float, good: bool, threshold: int, open_s: float, successes: int, half_open_calls: int) -> tuple[tuple, tuple[bool, str]]:
+    """The state after an attempt, whether it was allowed, and the state's name."""
+    state, fails, wins, calls, since = s
+    if state == "open" and t - since >= open_s:
+        state, wins, calls, since = "half_open", 0, 0, t
+    if state == "half_open" and t - since >= 2 * open_s:
+        state, since = "open", t
+    if state == "open" or state == "half_open" and calls >= half_open_calls:
+        return (state, fails, wins, calls, since), (False, state)
+    if state == "half_open":
+        calls += 1
+        if good:
+            wins += 1
+            if wins >= successes:
+                state, fails = "closed", 0
         else:
-            fails += 1
-            if fails >= threshold:
-                state, since = "open", t
-        return (state, fails, wins, calls, since), (True, state)
+            state, since = "open", t
+    elif good:
+        fails = max(0, fails - 1)
+    else:
+        fails += 1
+        if fails >= threshold:
+            state, since = "open", t
+    return (state, fails, wins, calls, since), (True, state)
+
 
-    return fold(df, keys, [seconds], [seconds, ok], lambda: ("closed", 0, 0, 0, 0.0), step, {"allowed": "boolean", "state": "string"})
+def circuit_breaker(df: DataFrame, keys: list[str], seconds: str, ok: str, threshold: int = 5, open_s: float = 30.0, successes: int = 3, half_open_calls: int = 3) -> DataFrame:
+    """``allowed`` and the breaker's ``state`` after each attempt. A success takes one failure back while closed."""
+    return fold(df, keys, [seconds], [seconds, ok], lambda: BREAKER_START, lambda s, t, good: breaker_step(s, t, good, threshold, open_s, successes, half_open_calls), {"allowed": "boolean", "state": "string"})
 
 
 def file_changes(positions: DataFrame, path: str = "file_path", order: str = "last_read") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import put, stream_key, stream_labels
@@ -36,12 +36,14 @@ def write_files(df: DataFrame, path: str, as_json: bool = True, max_records: int
 
 
 def loki_streams(df: DataFrame, defaults: dict[str, str] | None = None, batch: int = 1000) -> DataFrame:
-    """Streams of at most ``batch`` entries: key, labels, values [[nanoseconds, line]...]; a hot stream fills many rows."""
+    """Streams of at most ``batch`` entries: key, labels, values [[nanoseconds, line]...]. Entries are numbered inside a stream's minute
+    and gathered by number, so no group holds more than a batch."""
     keyed = df.select(stream_labels(F.col("labels"), defaults).alias("stream"), F.col("timestamp"), F.col("message")).withColumn("stream_key", stream_key(F.col("stream")))
     keyed = keyed.withColumn("part", F.floor(F.unix_micros("timestamp") / (60 * 1_000_000)))
-    ordered = keyed.groupBy("stream_key", "part").agg(F.first("stream").alias("stream"), F.array_sort(F.collect_list(F.struct((F.unix_micros("timestamp") * 1000).cast("string").alias("ns"), F.col("message").alias("line")))).alias("v"))
-    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / batch).cast("int")))
-    return ordered.withColumn("chunk", chunk).select("stream_key", "stream", F.transform(F.slice("v", F.col("chunk") * batch + 1, batch), lambda x: F.array(x["ns"], x["line"])).alias("values"))
+    number = F.row_number().over(Window.partitionBy("stream_key", "part").orderBy("timestamp", "message"))
+    entry = F.struct(F.col("number"), (F.unix_micros("timestamp") * 1000).cast("string").alias("ns"), F.col("message").alias("line"))
+    chunks = keyed.withColumn("number", number).withColumn("chunk", F.floor((F.col("number") - 1) / batch)).groupBy("stream_key", "part", "chunk")
+    return chunks.agg(F.first("stream").alias("stream"), F.array_sort(F.collect_list(entry)).alias("v")).select("stream_key", "stream", F.transform("v", lambda x: F.array(x["ns"], x["line"])).alias("values"))
 
 
 def kafka_records(df: DataFrame, topic: Column, key: Column) -> DataFrame:
@@ -78,7 +80,5 @@ def splunk_events(df: DataFrame, host: str = "", source: str = "", sourcetype: s
 
 def halves(df: DataFrame, batch: Column, order: list[str], size: Column, limit: int) -> DataFrame:
     """``half`` of each record of an oversized batch (1 or 2; 0 where the batch fits)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(batch)
     return df.withColumn("half", F.when(F.sum(size).over(w) > limit, F.ntile(2).over(w.orderBy(*order))).otherwise(0))

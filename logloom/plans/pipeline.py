@@ -168,8 +168,9 @@ def simplified(steps: tuple[Step, ...]) -> tuple[Step, ...]:
     return tuple(out)
 
 
-def apply(df: DataFrame, pipeline: Pipeline, mode: Mode = Mode(), extra: dict[str, Column] | None = None) -> DataFrame:
-    """``df`` (message, labels, timestamp) after the pipeline, with its name in ``pipeline``.
+def apply(df: DataFrame, pipeline: Pipeline, mode: Mode = Mode(), extra: dict[str, Column] | None = None, only: Column | None = None) -> DataFrame:
+    """``df`` (message, labels, timestamp) after the pipeline, with its name in ``pipeline``. ``only``: the records that it is for;
+    others stay as they are.
 
     Each step is a projection of its own; Catalyst merges those that don't repeat work.
     """
@@ -178,8 +179,9 @@ def apply(df: DataFrame, pipeline: Pipeline, mode: Mode = Mode(), extra: dict[st
     for s in simplified(pipeline.steps) if mode.overwrite else pipeline.steps:
         before = Record(F.col("message"), F.col("labels"), F.col("timestamp"), extra or {})
         after = STEPS[s.type](before, s.config, mode)
-        if s.condition:
-            ok = matches(F.col("message"), s.condition)
+        ok = matches(F.col("message"), s.condition) if s.condition else None
+        ok = ok if only is None else only if ok is None else only & ok
+        if ok is not None:
             after = Record(after.message, F.when(ok, after.labels).otherwise(before.labels), F.when(ok, after.timestamp).otherwise(before.timestamp), after.extra)
         out = out.withColumns({"labels": after.labels, "timestamp": after.timestamp})
     return out.withColumn("pipeline", F.lit(pipeline.name))
@@ -205,10 +207,10 @@ def route(source_type: Column, labels: Column, mapping: dict[str, list[str]], de
 
 
 def apply_routed(df: DataFrame, pipelines: dict[str, Pipeline], mapping: dict[str, list[str]], mode: Mode = Mode(), default: str = "default") -> DataFrame:
-    """Each record through its own pipeline: one branch per pipeline over the same scan."""
-    routed = df.withColumn("__to", route(F.col("source_type"), F.col("labels"), {k: v for k, v in mapping.items() if k in pipelines}, default))
-    out = None
+    """Each record through its own pipeline, in one pass: the pipelines' steps follow each other, each on its own records.
+    Records that are routed to no given pipeline are left out."""
+    to = route(F.col("source_type"), F.col("labels"), {k: v for k, v in mapping.items() if k in pipelines}, default)
+    out = df.withColumn("__to", to).where(F.col("__to").isin(*pipelines))
     for name, p in pipelines.items():
-        one = apply(routed.where(F.col("__to") == name), p, mode)
-        out = one if out is None else out.unionByName(one)
-    return out.drop("__to")
+        out = apply(out, p, mode, only=F.col("__to") == name)
+    return out.withColumn("pipeline", F.col("__to")).drop("__to")

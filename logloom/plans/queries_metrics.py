@@ -154,13 +154,24 @@ def a19_cooldown(spark, d):
     return metrics.cooldown(e, "key", "us", _WAIT).select("id", "suppressed")
 
 
-@query(None)
+#: Each key's records one after the other: ``start`` and ``step`` are the states' columns, of rows ``o`` (state before: ``r``).
+_FOLD = LOG.replace("WITH", "WITH RECURSIVE", 1) + ", o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY us, {tie}) AS rn FROM log), r AS ({start} FROM o WHERE rn = 1 UNION ALL {step}) "
+
+
+@query(_FOLD.format(tie="id", start="SELECT id, source_id, rn, CAST(0 AS BIGINT) AS batch, us AS first, 1 AS n", step="""SELECT o.id, o.source_id, o.rn, CASE WHEN r.n >= 5 OR o.us - r.first >= 86400000000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n >= 5 OR o.us - r.first >= 86400000000 THEN o.us ELSE r.first END,
+ CASE WHEN r.n >= 5 OR o.us - r.first >= 86400000000 THEN 1 ELSE r.n + 1 END FROM r JOIN o ON o.source_id = r.source_id AND o.rn = r.rn + 1""") + "SELECT id, batch FROM r")
 def a20_micro_batches(spark, d):
     e = events_as_log(spark, d).select("id", "us", "source_id")
     return metrics.micro_batches(e, ["source_id"], "us", 5, 86_400 * US).select("id", "batch")
 
 
-@query(None)
+def _sized(size: str, delay: str) -> str:
+    """A batch's size and delay after an observation (value, ten times it as the rate) from those before."""
+    new = "CASE WHEN o.value > 50 THEN {0} * CAST({1} AS DOUBLE) WHEN o.value * 10 < 100 THEN {0} * CAST({2} AS DOUBLE) ELSE {0} END"
+    return f"least(greatest(CAST(floor({new.format(size, 0.8, 1.2)}) AS BIGINT), 10), 1000) AS batch_size, least(greatest({new.format(delay, 0.8, 1.1)}, 0.1), 10) AS batch_delay"
+
+
+@query(_FOLD.format(tie="value", start="SELECT id, source_id, rn, " + _sized("100", "CAST(1 AS DOUBLE)"), step="SELECT o.id, o.source_id, o.rn, " + _sized("r.batch_size", "r.batch_delay") + " FROM r JOIN o ON o.source_id = r.source_id AND o.rn = r.rn + 1") + "SELECT id, batch_size, round(batch_delay, 6) AS batch_delay FROM r")
 def a21_adaptive_batches(spark, d):
     e = events_as_log(spark, d).select("id", "us", "source_id", "value", (F.col("value") * 10).alias("rate"))
     return metrics.adaptive_batches(e, ["source_id"], ["us"], "value", "rate", 50.0, 100.0).select("id", "batch_size", F.round("batch_delay", 6).alias("batch_delay"))
@@ -301,28 +312,37 @@ _ENT = "list_sum(list_transform(list_distinct(str_split(message, '')), lambda ch
 
 
 @query(LOG + f"""SELECT id, CAST(strlen(message) AS DOUBLE) AS text_message_length, CAST(len({_W}) AS DOUBLE) AS text_word_count, CAST(length(message) AS DOUBLE) AS text_char_count,
- round(len(regexp_extract_all(message, '\\p{{Nd}}')) / length(message), 6) AS text_digit_ratio, round(len(regexp_extract_all(message, '\\p{{L}}')) / length(message), 6) AS text_letter_ratio, CAST(len(regexp_extract_all(message, '{txt.COUNTED[5]}')) AS DOUBLE) AS text_pattern_5_count,
+ round(len(regexp_extract_all(message, '\\p{{Nd}}')) / length(message), 6) AS text_digit_ratio, round(len(regexp_extract_all(message, '\\p{{L}}')) / length(message), 6) AS text_letter_ratio, {", ".join(f"CAST(len(regexp_extract_all(message, '{p}')) AS DOUBLE) AS text_pattern_{i}_count" for i, p in enumerate(txt.COUNTED))},
+ round(len(regexp_extract_all(message, '[\t\n\x0B\f\r ]')) / length(message), 6) AS text_space_ratio, round(len(regexp_extract_all(message, '[^\p{{Nd}}\p{{L}}\t\n\x0B\f\r ]')) / length(message), 6) AS text_special_ratio,
+ CAST(len(regexp_extract_all(message, '\p{{Lu}}')) AS DOUBLE) AS text_uppercase_count, round(len(list_filter(range(1, length(message)), lambda k: message[k] = message[k + 1])) / (length(message) - 1), 6) AS text_repetition_score,
  round({_ENT}, 6) AS text_entropy, CAST(len(list_distinct(list_transform({_W}, lambda x: lower(x)))) AS DOUBLE) AS text_unique_words, round(list_sum(list_transform({_W}, lambda x: strlen(x))) / len({_W}), 6) AS text_avg_word_length,
  CAST(len(regexp_extract_all(message, '\\p{{Ll}}')) AS DOUBLE) AS text_lowercase_count FROM log""")
 def e01_text_features(spark, d):
-    keep = ("message_length", "word_count", "char_count", "digit_ratio", "letter_ratio", "pattern_5_count", "entropy", "unique_words", "avg_word_length", "lowercase_count")
-    return features.with_text(events_as_log(spark, d).select("id", "message")).select("id", *(r6(F.col(f"text_{k}")).alias(f"text_{k}") for k in keep))
+    out = features.with_text(events_as_log(spark, d).select("id", "message"))
+    return out.select("id", *(r6(F.col(c)).alias(c) for c in features.feature_names(out)))
 
 
 @query(LOG + """SELECT id, round(coalesce((us - lag(us) OVER k) / 1e6, 0), 6) AS diff, CAST(hour(ts) AS DOUBLE) AS hour, CAST(dayofweek(ts) AS DOUBLE) AS dow, CAST(day(ts) AS DOUBLE) AS dom, CAST(count(*) OVER (PARTITION BY source_id ORDER BY us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS DOUBLE) AS per_minute,
- CAST(count(*) OVER (PARTITION BY source_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS DOUBLE) AS per_hour, CAST(row_number() OVER (PARTITION BY source_id, level ORDER BY us) AS DOUBLE) AS level_count FROM log WINDOW k AS (PARTITION BY source_id ORDER BY us)""")
+ CAST(count(*) OVER (PARTITION BY source_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS DOUBLE) AS per_hour, CAST(row_number() OVER (PARTITION BY source_id, level ORDER BY us) AS DOUBLE) AS level_count,
+ CAST(row_number() OVER (PARTITION BY source_id ORDER BY us) AS DOUBLE) AS source_count, CAST(row_number() OVER (PARTITION BY source_id, message ORDER BY us) AS DOUBLE) AS duplicate_count, CAST(month(ts) AS DOUBLE) AS month FROM log WINDOW k AS (PARTITION BY source_id ORDER BY us)""")
 def e02_statistical_features(spark, d):
     out = features.with_statistical(events_as_log(spark, d).withColumn("timestamp", F.col("ts")))
     p = "statistical_"
-    return out.select("id", r6(F.col(f"{p}time_diff_seconds")).alias("diff"), F.col(f"{p}hour_of_day").alias("hour"), F.col(f"{p}day_of_week").alias("dow"), F.col(f"{p}day_of_month").alias("dom"), F.col(f"{p}events_per_minute").alias("per_minute"), F.col(f"{p}events_per_hour").alias("per_hour"), F.col(f"{p}level_count").alias("level_count"))
+    return out.select("id", r6(F.col(f"{p}time_diff_seconds")).alias("diff"), F.col(f"{p}hour_of_day").alias("hour"), F.col(f"{p}day_of_week").alias("dow"), F.col(f"{p}day_of_month").alias("dom"), F.col(f"{p}events_per_minute").alias("per_minute"), F.col(f"{p}events_per_hour").alias("per_hour"), F.col(f"{p}level_count").alias("level_count"), F.col(f"{p}source_count").alias("source_count"), F.col(f"{p}message_duplicate_count").alias("duplicate_count"), F.col(f"{p}month").alias("month"))
 
 
-@query(LOG + """, i AS (SELECT id, source_id, us, (us - lag(us) OVER (PARTITION BY source_id ORDER BY us)) / 1e6 AS d FROM log) SELECT id, round(coalesce(avg(d) OVER w, 0), 1) AS avg_interval, round(coalesce(stddev_samp(d) OVER w, 0), 1) AS std_interval, round(coalesce(min(d) OVER w, 0), 6) AS min_interval, round(coalesce(quantile_cont(d, 0.5) OVER w, 0), 1) AS median_interval,
- round(CASE WHEN count(d) OVER w < 3 THEN 1 WHEN avg(d) OVER w = 0 THEN 0 ELSE exp(-coalesce(stddev_samp(d) OVER w, 0) / avg(d) OVER w) END, 6) AS regularity FROM i WINDOW w AS (PARTITION BY source_id ORDER BY us ROWS 1000 PRECEDING)""")
+#: Means are taken over whole microseconds, so that they are the same digits in whatever order they are added.
+@query(LOG + """, i AS (SELECT id, source_id, ts, us, us - lag(us) OVER (PARTITION BY source_id ORDER BY us) AS d FROM log),
+ m AS (SELECT *, count(d) OVER w AS n, sum(d) OVER w AS s1, sum(CAST(d AS HUGEINT) * d) OVER w AS s2, min(d) OVER w AS low, max(d) OVER w AS high, quantile_cont(d, 0.5) OVER w AS mid FROM i WINDOW w AS (PARTITION BY source_id ORDER BY us ROWS 1000 PRECEDING)),
+ v AS (SELECT *, s1 / n AS mean, CASE WHEN n > 1 THEN sqrt(greatest(CAST(n * s2 - s1 * s1 AS DOUBLE), 0) / (CAST(n AS DOUBLE) * (n - 1))) ELSE 0 END AS sd FROM m)
+ SELECT id, floor(coalesce(d, 0) / CAST(1e6 AS DOUBLE) * 10000) / 10000 AS current_interval, floor(coalesce(mean, 0) / CAST(1e6 AS DOUBLE) * 10000) / 10000 AS avg_interval, floor(sd / CAST(1e6 AS DOUBLE) * 10000) / 10000 AS std_interval, floor(coalesce(low, 0) / CAST(1e6 AS DOUBLE) * 10000) / 10000 AS min_interval, floor(coalesce(high, 0) / CAST(1e6 AS DOUBLE) * 10000) / 10000 AS max_interval, floor(coalesce(mid, 0) / CAST(1e6 AS DOUBLE) * 10000) / 10000 AS median_interval,
+ round(CASE WHEN n < 3 THEN 1 WHEN mean = 0 THEN 0 ELSE exp(-sd / mean) END, 6) AS regularity_score, round(sin(hour(ts) * pi() / 12), 6) AS hour_sin, round(cos(hour(ts) * pi() / 12), 6) AS hour_cos, round(sin(dayofweek(ts) * 2 * pi() / 7), 6) AS dow_sin, round(cos(dayofweek(ts) * 2 * pi() / 7), 6) AS dow_cos FROM v""")
 def e03_temporal_features(spark, d):
     out = features.with_temporal(events_as_log(spark, d).withColumn("timestamp", F.col("ts")))
     p = "temporal_"
-    return out.select("id", F.round(f"{p}avg_interval", 1).alias("avg_interval"), F.round(f"{p}std_interval", 1).alias("std_interval"), r6(F.col(f"{p}min_interval")).alias("min_interval"), F.round(f"{p}median_interval", 1).alias("median_interval"), r6(F.col(f"{p}regularity_score")).alias("regularity"))
+    names = ("current_interval", "avg_interval", "std_interval", "min_interval", "max_interval", "median_interval")
+    rest = ("regularity_score", "hour_sin", "hour_cos", "dow_sin", "dow_cos")
+    return out.select("id", *((F.floor(F.col(f"{p}{k}") * 10_000) / 10_000).alias(k) for k in names), *(r6(F.col(f"{p}{k}")).alias(k) for k in rest))
 
 
 def _score_sql(patterns, col="lower(message)"):
@@ -330,11 +350,11 @@ def _score_sql(patterns, col="lower(message)"):
 
 
 @query(LOG + f"""SELECT id, {_score_sql(txt.ERRORS)} AS error_score, {_score_sql(txt.WARNINGS)} AS warning_score, {_score_sql(txt.SECURITY)} AS security_score, CAST({" + ".join(f"len(regexp_extract_all(lower(message), '{p}'))" for p in txt.PERFORMANCE)} AS DOUBLE) AS performance_score,
- CAST(len(n) AS DOUBLE) AS numbers, list_max(n) AS max_number, round(list_sum(n) / len(n), 6) AS avg_number, CAST(CASE level WHEN 'error' THEN 5 ELSE 3 END AS DOUBLE) AS severity FROM (SELECT *, list_transform(regexp_extract_all(message, '\\d+(?:\\.\\d+)?'), lambda x: CAST(x AS DOUBLE)) AS n FROM log)""")
+ CAST(len(n) AS DOUBLE) AS numbers, list_max(n) AS max_number, list_min(n) AS min_number, round(list_sum(n) / len(n), 6) AS avg_number, CAST(CASE level WHEN 'error' THEN 5 ELSE 3 END AS DOUBLE) AS severity FROM (SELECT *, list_transform(regexp_extract_all(message, '\\d+(?:\\.\\d+)?'), lambda x: CAST(x AS DOUBLE)) AS n FROM log)""")
 def e04_pattern_features(spark, d):
     out = features.with_patterns(events_as_log(spark, d).select("id", "message", "level"))
     p = "pattern_"
-    return out.select("id", *(F.col(f"{p}{k}_pattern_score").alias(f"{k}_score") for k in ("error", "warning", "security", "performance")), F.col(f"{p}numeric_value_count").alias("numbers"), F.col(f"{p}max_numeric_value").alias("max_number"), r6(F.col(f"{p}avg_numeric_value")).alias("avg_number"), F.col(f"{p}level_severity").alias("severity"))
+    return out.select("id", *(F.col(f"{p}{k}_pattern_score").alias(f"{k}_score") for k in ("error", "warning", "security", "performance")), F.col(f"{p}numeric_value_count").alias("numbers"), F.col(f"{p}max_numeric_value").alias("max_number"), F.col(f"{p}min_numeric_value").alias("min_number"), r6(F.col(f"{p}avg_numeric_value")).alias("avg_number"), F.col(f"{p}level_severity").alias("severity"))
 
 
 _LONG = "SELECT id, 'value' AS feature, value AS v FROM log UNION ALL SELECT id, 'length', CAST(strlen(message) AS DOUBLE) FROM log"
@@ -494,7 +514,11 @@ def l10_token_bucket(spark, d):
     return reliability.token_bucket(e, ["source_id"], "us", 1 / 43_200, 2.0).select("id", "allowed")
 
 
-@query(None)
+_ADAPTED = "least(greatest(CASE WHEN {a} > 24 THEN {r} * CAST(0.9 AS DOUBLE) WHEN {a} < 16 THEN {r} * CAST(1.1 AS DOUBLE) ELSE {r} END, 10), 10000)"
+
+
+@query(_FOLD.format(tie="value", start="SELECT id, source_id, rn, value AS mean, " + _ADAPTED.format(a="value", r="CAST(1000 AS DOUBLE)") + " AS rps",
+ step="SELECT id, source_id, rn, mean, " + _ADAPTED.format(a="mean", r="rps") + " FROM (SELECT o.id, o.source_id, o.rn, CAST(0.1 AS DOUBLE) * o.value + CAST(0.9 AS DOUBLE) * r.mean AS mean, r.rps FROM r JOIN o ON o.source_id = r.source_id AND o.rn = r.rn + 1)") + "SELECT id, round(rps, 6) AS rps FROM r")
 def l11_adaptive_rate(spark, d):
     e = events_as_log(spark, d).select("id", "source_id", "us", "value")
     return reliability.adaptive_rate(e, ["source_id"], ["us"], "value", 20.0).select("id", F.round("rps", 6).alias("rps"))
@@ -517,7 +541,19 @@ def l13_degradation(spark, d):
     return rows.select("level", F.array_join(reliability.degraded_features(F.col("level")), ",").alias("features"))
 
 
-@query(None)
+#: Attempts three at most while half open, three failures to open, three successes to close, a day until it is tried, two days half open.
+_BREAKER = """SELECT id, source_id, rn, NOT barred AS allowed,
+ CASE WHEN barred THEN state WHEN state = 'half_open' THEN CASE WHEN NOT ok THEN 'open' WHEN wins + 1 >= 3 THEN 'closed' ELSE state END WHEN NOT ok AND fails + 1 >= 3 THEN 'open' ELSE state END AS state,
+ CASE WHEN barred THEN fails WHEN state = 'half_open' THEN CASE WHEN ok AND wins + 1 >= 3 THEN 0 ELSE fails END WHEN ok THEN greatest(fails - 1, 0) ELSE fails + 1 END AS fails,
+ CASE WHEN NOT barred AND state = 'half_open' AND ok THEN wins + 1 ELSE wins END AS wins, CASE WHEN NOT barred AND state = 'half_open' THEN calls + 1 ELSE calls END AS calls,
+ CASE WHEN NOT barred AND NOT ok AND (state = 'half_open' OR fails + 1 >= 3) THEN us ELSE since END AS since
+ FROM (SELECT *, state = 'open' OR state = 'half_open' AND calls >= 3 AS barred FROM (SELECT * REPLACE (CASE WHEN stuck THEN 'open' ELSE state END AS state, CASE WHEN stuck THEN us ELSE since END AS since) FROM (SELECT *, state = 'half_open' AND us - since >= 172800000000 AS stuck
+ FROM (SELECT id, source_id, rn, us, ok, fails, CASE WHEN due THEN 'half_open' ELSE state END AS state, CASE WHEN due THEN 0 ELSE wins END AS wins, CASE WHEN due THEN 0 ELSE calls END AS calls, CASE WHEN due THEN us ELSE since END AS since
+ FROM (SELECT *, state = 'open' AND us - since >= 86400000000 AS due FROM ({rows}))))))"""
+
+
+@query(_FOLD.format(tie="event_type <> 'error'", start="SELECT id, source_id, rn, true AS allowed, 'closed' AS state, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS fails, 0 AS wins, 0 AS calls, CAST(0 AS BIGINT) AS since",
+ step=_BREAKER.format(rows="SELECT o.id, o.source_id, o.rn, o.us, o.event_type <> 'error' AS ok, r.state, r.fails, r.wins, r.calls, r.since FROM r JOIN o ON o.source_id = r.source_id AND o.rn = r.rn + 1")) + "SELECT id, allowed, state FROM r")
 def l14_circuit_breaker(spark, d):
     e = events_as_log(spark, d).select("id", "source_id", (F.col("us") / US).alias("s"), (F.col("event_type") != "error").alias("ok"))
     return reliability.circuit_breaker(e, ["source_id"], "s", "ok", 3, 86_400.0).select("id", "allowed", "state")

@@ -250,10 +250,11 @@ def k04_text_lines(spark, d):
     return e.select("id", sinks.text_line(F.col("ts"), F.col("source_type"), F.col("source_id"), F.col("labels"), F.col("message")).alias("line"))
 
 
-@query(LOG + """SELECT stream_key, CAST(count(*) AS BIGINT) AS entries FROM (SELECT '{"event_type":"' || event_type || '","job":"j","level":"' || level || '","service":"logloom"}' AS stream_key FROM log) GROUP BY 1""")
+@query(LOG + """SELECT stream_key, ns, line, CAST(count(*) AS BIGINT) AS entries FROM (SELECT CAST(us * 1000 AS VARCHAR) AS ns, message AS line, '{"event_type":"' || event_type || '","job":"j","level":"' || level || '","service":"logloom"}' AS stream_key FROM log) GROUP BY ALL""")
 def k08_stream_batches(spark, d):
     e = events_as_log(spark, d).withColumn("timestamp", F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")).withColumn("labels", lab.remove(F.col("labels"), "user"))
-    return sinks.loki_streams(e, {"job": "j"}).groupBy("stream_key").agg(F.sum(F.size("values")).alias("entries"))
+    entries = sinks.loki_streams(e, {"job": "j"}).select("stream_key", F.explode("values").alias("v"))
+    return entries.groupBy("stream_key", F.col("v")[0].alias("ns"), F.col("v")[1].alias("line")).agg(F.count("*").alias("entries"))
 
 
 @query(LOG + """SELECT id, '{"event_type":"' || event_type || '","level":"' || level || '","user":"' || "user" || '"}' AS stream_key FROM log""")
@@ -278,12 +279,12 @@ def k11_error_classes(spark, d):
     return e.groupBy(routing.error_class(F.expr(_STATUS), F.expr(_BODY)).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(LOG + f"""SELECT {_ROUTED} AS topic, source_id AS key, CAST(count(*) AS BIGINT) AS n FROM log GROUP BY 1, 2""")
+@query(LOG + f"""SELECT {_ROUTED} AS topic, source_id AS key, message, source_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS at, level FROM log""")
 def k13_kafka_records(spark, d):
     e = events_as_log(spark, d).withColumn("timestamp", F.col("ts").cast("timestamp"))
     e = e.withColumn("labels", F.when(F.col("event_type") == "view", lab.put(F.col("labels"), {"kafka_topic": F.lit("views")})).otherwise(F.col("labels")))
     out = sinks.kafka_records(e, routing.topic(F.col("labels")), routing.partition_key(F.col("labels"), F.col("source_id")))
-    return out.groupBy("topic", "key").agg(F.count("value").alias("n"))
+    return out.select("topic", "key", *(F.get_json_object("value", f"$.{x}").alias(y) for x, y in (("message", "message"), ("source_id", "source_id"), ("timestamp", "at"), ("labels.level", "level"))))
 
 
 @query(LOG + """SELECT 'logs-' || strftime(ts, '%Y.%m.%d') || '-' || strftime(ts, '%H') AS "index", 'dflt' AS env, level, CAST(count(*) AS BIGINT) AS n FROM log GROUP BY 1, 3""")

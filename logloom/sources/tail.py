@@ -15,7 +15,9 @@ class _Range(InputPartition):
 
 
 class _TailReader(DataSourceStreamReader):
-    """Offsets are JSON per file: inode and bytes read up to the last line feed. A new inode or a shorter file starts at 0."""
+    """Offsets are JSON per file: inode and bytes read up to the last line feed. A file is known by its inode, so a renamed one goes
+    on where it was; a new inode or a shorter file starts at 0. Files are read in pieces of ``piecebytes``: a line belongs to the
+    piece in which it begins."""
 
     def __init__(self, options: dict):
         self.path, self.suffix = options["path"], options.get("suffix", "")
@@ -49,24 +51,26 @@ class _TailReader(DataSourceStreamReader):
         return 0
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        old, new = json.loads(start["files"]), json.loads(end["files"])
+        read = {inode: stop for inode, stop in json.loads(start["files"]).values()}
         out = []
-        for p, (inode, stop) in sorted(new.items()):
-            was = old.get(p)
-            at = was[1] if was and was[0] == inode and was[1] <= stop else 0
-            if stop > at:
-                out.append(_Range(p, at, stop))
+        for p, (inode, stop) in sorted(json.loads(end["files"]).items()):
+            at = read.get(inode, 0)
+            at = at if at <= stop else 0
+            out += [_Range(p, a, min(a + self.piece, stop)) for a in range(at, stop, self.piece)]
         return out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            left, at = partition.end - partition.start, partition.start
-            while left > 0:
-                line = f.readline(left)
+            at = partition.start
+            if at:  # the line that began before belongs to the piece before
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
+            else:
+                f.seek(0)
+            while at < partition.end:
+                line = f.readline()
                 if not line:
                     return
-                left -= len(line)
                 text = line.rstrip(b"\n").decode("utf-8", "replace")
                 if text:
                     yield text, partition.path, at

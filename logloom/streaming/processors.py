@@ -32,13 +32,17 @@ def dedup_stream(df: DataFrame, key: str, us: str, ttl_us: int) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(run, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def token_bucket_stream(df: DataFrame, key: str, us: str, rps: float, burst: float) -> DataFrame:
-    """Every record with ``allowed``; state is the bucket's tokens and time."""
+def token_bucket_stream(df: DataFrame, key: str, us: str, rps: float, burst: float, quiet_ms: int = 86_400_000) -> DataFrame:
+    """Every record with ``allowed``; state is the bucket's tokens and time, and goes when a key has been quiet for ``quiet_ms`` (its
+    bucket is full again by then unless it refills more slowly)."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField("allowed", T.BooleanType())])
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tokens, last = state.get if state.exists else (burst, None)
         rows = pd.concat(list(batches)).sort_values(us, kind="stable")
         allowed = []
@@ -49,35 +53,34 @@ def token_bucket_stream(df: DataFrame, key: str, us: str, rps: float, burst: flo
             tokens, last = (tokens - 1 if ok else tokens), int(t)
             allowed.append(ok)
         state.update((float(tokens), last))
+        state.setTimeoutDuration(max(quiet_ms, int(burst / rps * 1000) + 1))
         yield rows.assign(allowed=allowed)
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, "tokens double, last bigint", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(run, schema, "tokens double, last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def breaker_stream(df: DataFrame, key: str, seconds: str, ok: str, threshold: int = 5, open_s: float = 30.0, successes: int = 3) -> DataFrame:
-    """Every attempt with ``allowed`` and the breaker's ``state``."""
+def breaker_stream(df: DataFrame, key: str, seconds: str, ok: str, threshold: int = 5, open_s: float = 30.0, successes: int = 3, half_open_calls: int = 3, quiet_ms: int = 86_400_000) -> DataFrame:
+    """Every attempt with ``allowed`` and the breaker's ``state``, by the step of the batch operator. A key's state goes when it has
+    been quiet for ``quiet_ms``."""
     from pyspark.sql import types as T
 
+    from ..operators.reliability import BREAKER_START, breaker_step
+
     schema = T.StructType([*df.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("state", T.StringType())])
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name, fails, wins, since = state.get if state.exists else ("closed", 0, 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(seconds, kind="stable")
-        allowed, names = [], []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        s = state.get if state.exists else BREAKER_START
+        rows = pd.concat(list(batches)).sort_values([seconds, ok], kind="stable")
+        said = []
         for t, good in zip(rows[seconds], rows[ok], strict=True):
-            if name == "open" and t - since >= open_s:
-                name, wins = "half_open", 0
-            passes = name != "open"
-            if name == "half_open":
-                wins = wins + 1 if good else 0
-                name, fails, since = ("closed", 0, since) if wins >= successes else (name, fails, since) if good else ("open", fails, float(t))
-            elif name == "closed":
-                fails = max(0, fails - 1) if good else fails + 1
-                if fails >= threshold:
-                    name, since = "open", float(t)
-            allowed.append(passes)
-            names.append(name)
-        state.update((name, int(fails), int(wins), float(since)))
-        yield rows.assign(allowed=allowed, state=names)
-
-    return df.groupBy(key).applyInPandasWithState(run, schema, "name string, fails int, wins int, since double", "append", GroupStateTimeout.NoTimeout)
+            s, now = breaker_step(s, float(t), bool(good), threshold, open_s, successes, half_open_calls)
+            said.append(now)
+        name, fails, wins, calls, since = s
+        state.update((name, int(fails), int(wins), int(calls), float(since)))
+        state.setTimeoutDuration(quiet_ms)
+        yield rows.assign(allowed=[x[0] for x in said], state=[x[1] for x in said])
+
+    return df.groupBy(key).applyInPandasWithState(run, schema, "name string, fails int, wins int, calls int, since double", "append", GroupStateTimeout.ProcessingTimeTimeout)
