@@ -313,8 +313,8 @@ _ENT = "list_sum(list_transform(list_distinct(str_split(message, '')), lambda ch
 
 @query(LOG + f"""SELECT id, CAST(strlen(message) AS DOUBLE) AS text_message_length, CAST(len({_W}) AS DOUBLE) AS text_word_count, CAST(length(message) AS DOUBLE) AS text_char_count,
  round(len(regexp_extract_all(message, '\\p{{Nd}}')) / length(message), 6) AS text_digit_ratio, round(len(regexp_extract_all(message, '\\p{{L}}')) / length(message), 6) AS text_letter_ratio, {", ".join(f"CAST(len(regexp_extract_all(message, '{p}')) AS DOUBLE) AS text_pattern_{i}_count" for i, p in enumerate(txt.COUNTED))},
- round(len(regexp_extract_all(message, '[\t\n\x0B\f\r ]')) / length(message), 6) AS text_space_ratio, round(len(regexp_extract_all(message, '[^\p{{Nd}}\p{{L}}\t\n\x0B\f\r ]')) / length(message), 6) AS text_special_ratio,
- CAST(len(regexp_extract_all(message, '\p{{Lu}}')) AS DOUBLE) AS text_uppercase_count, round(len(list_filter(range(1, length(message)), lambda k: message[k] = message[k + 1])) / (length(message) - 1), 6) AS text_repetition_score,
+ round(len(regexp_extract_all(message, '[\t\n\x0B\f\r ]')) / length(message), 6) AS text_space_ratio, round(len(regexp_extract_all(message, '[^\\p{{Nd}}\\p{{L}}\t\n\x0B\f\r ]')) / length(message), 6) AS text_special_ratio,
+ CAST(len(regexp_extract_all(message, '\\p{{Lu}}')) AS DOUBLE) AS text_uppercase_count, round(len(list_filter(range(1, length(message)), lambda k: message[k] = message[k + 1])) / (length(message) - 1), 6) AS text_repetition_score,
  round({_ENT}, 6) AS text_entropy, CAST(len(list_distinct(list_transform({_W}, lambda x: lower(x)))) AS DOUBLE) AS text_unique_words, round(list_sum(list_transform({_W}, lambda x: strlen(x))) / len({_W}), 6) AS text_avg_word_length,
  CAST(len(regexp_extract_all(message, '\\p{{Ll}}')) AS DOUBLE) AS text_lowercase_count FROM log""")
 def e01_text_features(spark, d):
