@@ -1,59 +1,20 @@
-"""Shared parts of the corpus operators: the shared folder, Arrow batching and vectorised word hashing."""
+"""Shared parts of the corpus operators: Arrow batching and vectorised word hashing."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import itertools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from ..shared import materialize, new_path  # noqa: F401
 
 #: Bytes of text that a Python worker handles at once (one longer document is handled alone).
 CHUNK_BYTES = 1 << 20
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="logloom-"))
-        base = _own_dir[0]
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/logloom/{label}-{uuid.uuid4().hex}"
-
-
-#: Whether Spark removes an execution's shuffle files when it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    Nothing reads the write's shuffles again, so their files go at its end instead of when the driver collects garbage.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    before = spark.conf.get(_CLEANUP, None)
-    try:
-        if before is not None:
-            spark.conf.set(_CLEANUP, "true")
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def free_name(name: str, columns: list[str]) -> str:
     """``name``, or with the first number after it that makes it none of the ``columns`` (case doesn't count)."""

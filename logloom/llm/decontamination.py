@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import merged, tidy
+from .common import free_name, merged, tidy
 
 WIDTH = 10
 #: Suffix positions that are multiples of this are sampled, and those where a run starts.
@@ -200,14 +200,13 @@ def merge_spans(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of about ``block_bytes`` of text."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, str | None]]]]:
+    """The number of blocks of about ``block_bytes`` of text, and the items of each, fetched one block after the other."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()]
+    part = lambda k: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+    return n, ([tuple(r) for r in part(k).collect()] for k in range(n))
 
 
 _FOUND = "n_words long, spans array<array<long>>, items array<string>"
@@ -217,14 +216,14 @@ _TYPES = (pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))
 def find(documents: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", name: str = "found", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns ``keep`` (text among them only if named) and a struct column ``name``: n_words, spans, items."""
     spark = documents.sparkSession
-    fields = documents.select(*keep).schema
+    fields = documents.select(*(F.col(f"`{c}`") for c in keep)).schema
     carried = keep if text in keep else [*keep, text]
     out = documents.select(*(F.col(f"`{c}`") for c in carried))
     struct = f"struct<{_FOUND.replace('n_words long', 'n_words:bigint').replace('spans ', 'spans:').replace('items ', 'items:')}>"
-    blocks = list(_blocks(benchmark, block_bytes))
-    for k, block in enumerate(blocks):
+    n, blocks = _blocks(benchmark, block_bytes)
+    for k, block in enumerate(blocks):  # the driver holds one at a time
         shared = spark.sparkContext.broadcast(Phrases(block, width))
-        last = k == len(blocks) - 1
+        last = k == n - 1
         columns = keep if last else carried
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared, columns=columns, first=not k) -> Iterator[pa.RecordBatch]:
@@ -264,7 +263,7 @@ def without_spans(text: bytes, spans: list[list[int]]) -> bytes:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All documents with the hit spans removed from ``text``, and ``n_chars`` (if there) counted anew where text went."""
-    name = "__found"
+    name = free_name("found", documents.columns)
     marked = find(documents, benchmark, documents.columns, name=name)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     columns = documents.columns

@@ -5,8 +5,9 @@ is scored by its character n-grams of the longest length that training saw (5, 4
 word and weighted down by length. The language of the highest sum wins; ``score`` is the softmax of the sums per word.
 
 The classifier is fitted on a bounded sample of labelled rows: at most about ``sample_per_lang`` texts of each
-language, chosen by a hash of doc_id (all of them where there are fewer). The model that is sent to the executors
-keeps at most ``max_words`` words and ``max_grams`` n-grams of each length and language: all languages are learned, and its size grows with their number.
+language, chosen by a hash of doc_id (all of them where there are fewer); this bounds the model that is sent to the executors. All languages are
+learned, so its size grows with their number. ``max_words`` and ``max_grams`` prune it further (to the most frequent words, and n-grams of each
+length, of a language); by default nothing is pruned.
 
 Defined cases: a null text or one without letters gets ``und`` and score 0; without any training row every text gets
 ``und``; ties go to the language that is first by name; repeated rows are predicted each; an empty table gives none.
@@ -66,7 +67,7 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def fit(rows: DataFrame, sample_per_lang: int = 3_000, max_words: int = 40_000, max_grams: int = 40_000) -> dict:
+def fit(rows: DataFrame, sample_per_lang: int = 3_000, max_words: int | None = None, max_grams: int | None = None) -> dict:
     """The model from labelled rows (doc_id, text, lang)."""
     from pyspark.sql import Window
 
@@ -80,7 +81,11 @@ def fit(rows: DataFrame, sample_per_lang: int = 3_000, max_words: int = 40_000,
     counts = sample.mapInArrow(_counts, "lang string, length int, token string, n long").groupBy("lang", "length", "token").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.desc("n"), "token"))
     kept = counts.withColumn("rank", rank).withColumn("total", F.sum("n").over(Window.partitionBy("lang", "length")))
-    kept = kept.where(F.col("rank") <= F.when(F.col("length") == 0, max_words).otherwise(max_grams)).drop("rank")
+    most = {0: max_words, **dict.fromkeys(GRAM_LENGTHS, max_grams)}
+    for k, n in most.items():
+        if n is not None:
+            kept = kept.where((F.col("length") != k) | (F.col("rank") <= n))
+    kept = kept.drop("rank")
     table = kept.toArrow()
     langs = sorted(sizes)
     if len(langs) > DENSE_LANGS:
@@ -117,6 +122,13 @@ def sparse_tables(table: pa.Table, langs: list[str]) -> dict:
     return out
 
 
+class _Index(dict):
+    """Word to row; a word that isn't there is added."""
+
+    def __missing__(self, word: str) -> int:
+        return self.add(word)
+
+
 class Predictor:
     """Scores texts in a worker. The row of each word is found once and kept, up to ``limit`` words."""
 
@@ -129,7 +141,8 @@ class Predictor:
         self.reset()
 
     def reset(self) -> None:
-        self.index = dict(self.known)
+        self.index = _Index(self.known)
+        self.index.add = self.add
         self.rows = np.zeros((len(self.base) + 4096, len(self.langs)), np.float32)
         self.rows[: len(self.base)] = self.base
         self.used = len(self.base)
@@ -165,11 +178,8 @@ class Predictor:
         """The sums of the words' rows."""
         if self.used > self.limit:
             self.reset()
-        get = self.index.get
-        ids = [get(w, -1) for w in words]
-        if -1 in ids:
-            ids = [i if i >= 0 else self.index.get(w, -1) if w in self.index else self.add(w) for i, w in zip(ids, words, strict=True)]
-        return self.rows[ids].sum(axis=0, dtype=np.float64)
+        ids = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return self.rows.take(ids, axis=0).sum(axis=0, dtype=np.float64)
 
 
 class SparsePredictor(Predictor):

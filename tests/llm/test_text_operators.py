@@ -71,7 +71,7 @@ def components(data):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("certainty", [64, None])
+@pytest.mark.parametrize("certainty", [45, None])
 def test_ngram_join(spark, docs, certainty):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(docs, certainty).collect()}
     assert got == components(rows())
@@ -339,6 +339,8 @@ def test_clean_leaves_no_phrase(spark, leaked):
     before = {r["doc_id"]: r["contaminated"] for r in decontamination.report(frame, bench).collect()}
     out = decontamination.clean(frame, bench)
     assert out.columns == frame.columns
+    clash = decontamination.clean(frame.withColumn("found", frame["doc_id"] * 2), bench)
+    assert clash.columns[-1] == "found" and all(r["found"] == 2 * r["doc_id"] for r in clash.collect())
     texts = {r["doc_id"]: r for r in out.collect()}
     for d, t, *_ in data:
         assert before[d] or texts[d]["text"] == t
@@ -596,6 +598,39 @@ def test_all_languages_are_learned(spark):
     assert all(got[d] == x for d, _, x in data)
 
 
+@pytest.mark.parametrize("dense", [16, 0])
+def test_language_scores_against_brute_force(spark, sf, monkeypatch, dense):
+    monkeypatch.setattr(language_id, "DENSE_LANGS", dense)
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"]]
+    learned = [r for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] is not None]
+    langs = sorted({r["lang"] for r in learned})
+    counts = {k: {lang: {} for lang in langs} for k in range(6)}  # 0: words
+    pieces = lambda w, k: [w] if not k else list(w) if k == 1 else [f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k)]
+    for r in learned:
+        for w in re.findall(r"[^\W\d_]+", r["text"].lower()):
+            for k in range(6):
+                for x in pieces(w, k):
+                    counts[k][r["lang"]][x] = counts[k][r["lang"]].get(x, 0) + 1
+    known = {k: set().union(*counts[k].values()) for k in counts}
+    total = {k: {lang: sum(c.values()) for lang, c in counts[k].items()} for k in counts}
+    log = lambda k, x, lang: np.log(counts[k][lang].get(x, 0) + 0.5) - np.log((total[k][lang] or 1) + 0.5 * max(1, len(known[k])))
+    rows = {}
+    for r in docs:
+        for w in re.findall(r"[^\W\d_]+", r["text"].lower()):
+            if w not in rows:
+                k = next((k for k in (0, 5, 4, 3, 2, 1) if any(x in known[k] for x in pieces(w, k))), None)
+                found = [] if k is None else [x for x in pieces(w, k) if x in known[k]]
+                rows[w] = np.array([np.mean([log(k, x, lang) for x in found]) * ((k + 1) / 6 if k else 1) if found else 0.0 for lang in langs])
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame([(*r[:2], r["lang"], r["source"], 0) for r in docs], DOCS)).collect()}
+    for r in docs:
+        words = re.findall(r"[^\W\d_]+", r["text"].lower())
+        if words:
+            mean = sum(rows[w] for w in words) / len(words) * min(len(words), 20)
+            p = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+            assert abs(got[r["doc_id"]]["score"] - p.max()) < 1e-3 and (got[r["doc_id"]]["lang_pred"] == langs[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-3)
+    assert len(rows) > 1000
+
+
 def test_sparse_language_model_scores_as_the_dense_one(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     dense = language_id.Predictor(language_id.fit(docs.where("doc_id % 2 = 0")))
