@@ -269,7 +269,7 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     columns = documents.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             found = batch.column(batch.schema.get_field_index(name)).to_pylist()
             hit = [i for i, x in enumerate(found) if x["spans"]]
             out = {c: batch.column(batch.schema.get_field_index(c)) for c in columns}

@@ -209,10 +209,10 @@ def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e, which = e[firsts], which[firsts]
     starts = np.searchsorted(which, np.arange(len(ids) + 1))
     parts = -(-np.diff(starts) // PART)
-    for a in range(0, len(e), 500_000):
-        own, w, keys = e[a : a + 500_000], which[a : a + 500_000], e["key"][a : a + 500_000].copy()
+    for a in range(0, len(e), 100_000):
+        own, w, keys = e[a : a + 100_000], which[a : a + 100_000], e["key"][a : a + 100_000].copy()
         part = mix(keys.view(np.uint64)) % parts[w].astype(np.uint64)
-        columns = [ids.view(np.int64)[w], parts[w].astype(np.int32), part.astype(np.int32), keys, own["n"].astype(np.int64), most[a : a + 500_000].astype(np.int64), e["key"][starts[w]], weight[w].astype(np.int64)]
+        columns = [ids.view(np.int64)[w], parts[w].astype(np.int32), part.astype(np.int32), keys, own["n"].astype(np.int64), most[a : a + 100_000].astype(np.int64), e["key"][starts[w]], weight[w].astype(np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["list", "parts", "part", "key", "n", "most", "center", "weight"])
 
 

@@ -39,9 +39,9 @@ WINDOW, SPAN, RUN = 12, 5, 25
 #: Bytes of text for each bucket of digests, and for each bucket of documents' marks.
 BUCKET_BYTES, MARK_BYTES = 8 << 20, 32 << 20
 #: Bytes of text whose digests a task gathers before it sends them.
-SEND_BYTES = 8 << 20
+SEND_BYTES = 4 << 20
 #: Entries that a group's task holds before it settles them.
-HELD_ENTRIES = 2_000_000
+HELD_ENTRIES = 400_000
 _NO_ID = np.iinfo(np.int64).max
 #: A digest's occurrence: 96 bits of digest, document (id and hash of its text), code: twice the first word, one more for windows.
 ENTRY = np.dtype([("a", "<u8"), ("doc", "<i8"), ("b", "<u4"), ("hash", "<u4"), ("word", "<u4")])
@@ -292,7 +292,7 @@ def dedup(documents: DataFrame, least_words: int = 1, run: int = RUN, removed: s
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + f", `{removed}` array<array<long>>"
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out = {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
             all_marks = batch.column(batch.schema.get_field_index(own)).to_pylist()
             spans: list[list[list[int]]] = [[] for _ in all_marks]
