@@ -274,11 +274,16 @@ def training_buffer(df: DataFrame, ts: str, keys: list[str] = (), size: int = 10
 def similar(queries: DataFrame, buffer: DataFrame, names: list[str], ident: str = "id", k: int = 3, least: float = 0.8) -> DataFrame:
     """Up to ``k`` newest records of the training buffer that resemble each query: same source type and level, mean closeness over ``least``.
 
-    The buffer is bounded by its size (10 000 records), so it is broadcast; a different level gives 0.5 and never passes.
+    The buffer is bounded by its size (10 000 records), so it is broadcast, as one list, newest first, for each source type
+    and level; a query looks through its list, without a row a pair. A different level gives 0.5 and never passes.
     """
-    q, b = queries.alias("q"), F.broadcast(buffer).alias("b")
-    close = sum(((1.0 - F.least(F.abs(F.col(f"q.{n}") - F.col(f"b.{n}")), F.lit(1.0))) for n in names), F.lit(0.0)) / float(len(names))
-    pairs = q.join(b, (F.col("q.source_type") == F.col("b.source_type")) & (F.col("q.level") == F.col("b.level")) & (F.col(f"q.{ident}") != F.col(f"b.{ident}"))).withColumn("similarity", close).where(F.col("similarity") > least)
-    best = F.struct(F.col("b.timestamp").alias("t"), F.col(f"b.{ident}").alias("i"), "similarity")
-    rows = pairs.select(F.col(f"q.{ident}").alias(ident), best.alias("m"))
-    return rows.groupBy(ident).agg(F.slice(F.reverse(F.array_sort(F.collect_list("m"))), 1, k).alias("m")).select(ident, F.transform("m", lambda x: x["i"]).alias("similar"))
+    entry = F.struct(F.col("timestamp").alias("t"), F.col(ident).alias("i"), *(F.col(n).alias(f"v{j}") for j, n in enumerate(names)))
+    lists = buffer.groupBy("source_type", "level").agg(F.sort_array(F.collect_list(entry), asc=False).alias("__buffer"))
+
+    def alike(x: Column) -> Column:
+        close = sum((1.0 - F.least(F.abs(F.col(n) - x[f"v{j}"]), F.lit(1.0)) for j, n in enumerate(names)), F.lit(0.0)) / float(len(names))
+        return (x["i"] != F.col(ident)) & (close > least)
+
+    found = F.slice(F.filter("__buffer", alike), 1, k)
+    rows = queries.join(F.broadcast(lists), ["source_type", "level"]).select(ident, F.transform(found, lambda x: x["i"]).alias("similar"))
+    return rows.where(F.size("similar") > 0)

@@ -61,6 +61,26 @@ def dlq_alerts(dlq: DataFrame, now: Column, per_minute: float = 10, total: int =
     return dlq.agg(F.count("*").alias("entries"), recent.alias("last_minute")).withColumns({"rate_alert": F.col("last_minute") > per_minute, "total_alert": F.col("entries") > total})
 
 
+def dlq_health(snapshots: DataFrame, keys: list[str], micros: str, per_minute: float = 10, total: int = 10_000, queue: int = 1_000) -> DataFrame:
+    """The four dead-letter alerts, one row each, from snapshots of (``total_entries``, ``queue_size``, ``write_errors``).
+
+    Rate and write errors compare a snapshot with the one before of its keys; the first has none, and so neither of the two.
+    """
+    w = Window.partitionBy(*keys).orderBy(micros, "total_entries")
+    before = {c: F.lag(c).over(w) for c in (micros, "total_entries", "write_errors")}
+    s = snapshots.select("*", *(x.alias(f"__{i}") for i, x in enumerate(before.values())))
+    minutes = F.when(F.col(micros) > F.col("__0"), (F.col(micros) - F.col("__0")) / 60_000_000)
+    rate, errors = (F.col("total_entries") - F.col("__1")) / minutes, F.col("write_errors") - F.col("__2")
+    kinds = [
+        ("high_entry_rate", "warning", rate, float(per_minute)),
+        ("high_total_count", "critical", F.when(F.lit(total > 0), F.col("total_entries")), float(total)),
+        ("high_queue_size", "warning", F.col("queue_size"), float(queue)),
+        ("write_errors", "error", errors, 0.0),
+    ]
+    alerts = [F.when(x > limit, F.struct(F.lit(kind).alias("type"), F.lit(level).alias("severity"), x.cast("double").alias("current"), F.lit(limit).alias("threshold"))) for kind, level, x, limit in kinds]
+    return s.select(*keys, micros, F.inline(F.array_compact(F.array(*alerts))))
+
+
 def token_bucket(df: DataFrame, keys: list[str], micros: str, rps: float, burst: float, need: str | None = None, out: str = "allowed") -> DataFrame:
     """Refill by elapsed time up to the burst; a record passes if the bucket holds what it needs (1, or a column)."""
 

@@ -70,6 +70,25 @@ def retryable(status: Column, error: Column) -> Column:
     return F.coalesce(status.isin(*RETRYABLE_STATUS) | (status >= 500), F.lit(False)) | F.coalesce(F.lower(error).rlike("connection|timeout|eof|temporary"), F.lit(False))
 
 
+#: From which utilisation of a push queue how many seconds an entry may wait for a place; above the last, none.
+ADMISSION_S = ((0.9, 1), (0.75, 3), (0.0, 10))
+FULL = 0.95
+
+
+def push_admission(utilisation: Column, free_after_s: Column) -> Column:
+    """What happens to an entry at a queue so full, whose next place comes free after so many seconds (null: never).
+
+    ``sent``, or the dead letter's reason: ``loki_queue_full`` without waiting above 0.95, ``loki_timeout`` when the wait is longer than
+    the utilisation allows. An unknown utilisation counts as an empty queue.
+    """
+    u = F.coalesce(utilisation, F.lit(0.0))
+    (first, least), *rest = ADMISSION_S
+    allowed = F.when(u > first, least)
+    for above, seconds in rest:
+        allowed = allowed.when((u > above) | F.lit(above == 0.0), seconds)
+    return F.when(u > FULL, "loki_queue_full").when(F.coalesce(free_after_s <= allowed, F.lit(False)), "sent").otherwise("loki_timeout")
+
+
 def error_class(status: Column, body: Column) -> Column:
     """data errors (refused for their times) don't count against a sink; others do."""
     return F.when(status < 300, "ok").when((status == 400) & F.lower(body).rlike("timestamp|too old|out of order|too far"), "data_error").when(retryable(status, body), "retryable").otherwise("permanent")

@@ -437,12 +437,12 @@ def m12_explanations(spark, d):
     return out.select("id", "reason", "severity", F.array_join("recommendations", "; ").alias("recommendations"))
 
 
-@query(LOG + """, b AS (SELECT id, ts, source_type, level, value / 100 AS v, length(message) / 100.0 AS n FROM log ORDER BY ts DESC LIMIT 500) SELECT id, list_extract(m, 1) AS s1, list_extract(m, 2) AS s2, list_extract(m, 3) AS s3 FROM (SELECT q.id, list(b.id ORDER BY b.ts DESC, b.id DESC) AS m FROM b q JOIN b ON q.level = b.level AND q.id <> b.id
+@query(LOG + """, b AS (SELECT id, ts, source_type, level, value / 100 AS v, length(message) / 100.0 AS n FROM log ORDER BY ts DESC LIMIT 500) SELECT id, list_extract(m, 1) AS s1, list_extract(m, 2) AS s2, list_extract(m, 3) AS s3 FROM (SELECT q.id, list(b.id ORDER BY b.ts DESC, b.id DESC) AS m FROM (SELECT id, source_type, level, value / 100 AS v, length(message) / 100.0 AS n FROM log) q JOIN b ON q.source_type = b.source_type AND q.level = b.level AND q.id <> b.id
  AND (1 - least(abs(q.v - b.v), 1) + 1 - least(abs(q.n - b.n), 1)) / 2 > 0.8 GROUP BY 1)""")
 def m14_similar_entries(spark, d):
     e = events_as_log(spark, d).select("id", F.col("ts").alias("timestamp"), "source_type", "level", (F.col("value") / 100).alias("v"), (F.length("message") / 100.0).alias("n"))
     buffer = anomaly.training_buffer(e, "timestamp", size=500)
-    out = anomaly.similar(buffer, buffer, ["v", "n"])
+    out = anomaly.similar(e, buffer, ["v", "n"])
     return out.select("id", *(F.try_element_at("similar", F.lit(i)).alias(f"s{i}") for i in (1, 2, 3)))
 
 
@@ -507,6 +507,23 @@ def l08_dlq_alerts(spark, d):
     return reliability.dlq_alerts(dlq(spark, d), F.timestamp_micros(F.lit(_AT)))
 
 
+_SNAPSHOTS = "SELECT source_id, us, row_number() OVER (PARTITION BY source_id ORDER BY us, id) * 40 AS total_entries, id % 1200 AS queue_size, count_if(event_type = 'error') OVER (PARTITION BY source_id ORDER BY us, id) AS write_errors FROM log"
+
+
+@query(LOG + f"""SELECT source_id, us, type, severity, round(CAST(current AS DOUBLE), 6) AS current FROM (SELECT source_id, us, unnest([
+ {{'type': 'high_entry_rate', 'severity': 'warning', 'current': CASE WHEN us > us0 AND (total_entries - total0) / ((us - us0) / 6e7) > 0.1 THEN (total_entries - total0) / ((us - us0) / 6e7) END}},
+ {{'type': 'high_total_count', 'severity': 'critical', 'current': CASE WHEN total_entries > 300 THEN CAST(total_entries AS DOUBLE) END}},
+ {{'type': 'high_queue_size', 'severity': 'warning', 'current': CASE WHEN queue_size > 1000 THEN CAST(queue_size AS DOUBLE) END}},
+ {{'type': 'write_errors', 'severity': 'error', 'current': CASE WHEN errors0 IS NOT NULL AND write_errors > errors0 THEN CAST(write_errors - errors0 AS DOUBLE) END}}], recursive := true)
+ FROM (SELECT *, lag(us) OVER w AS us0, lag(total_entries) OVER w AS total0, lag(write_errors) OVER w AS errors0 FROM ({_SNAPSHOTS}) WINDOW w AS (PARTITION BY source_id ORDER BY us, total_entries))) WHERE current IS NOT NULL""")
+def l08_dlq_health(spark, d):
+    w = Window.partitionBy("source_id").orderBy("us", "id")
+    e = events_as_log(spark, d)
+    s = e.select("source_id", "us", (F.row_number().over(w) * 40).alias("total_entries"), (F.col("id") % 1200).alias("queue_size"), F.count_if(F.col("event_type") == "error").over(w).alias("write_errors"))
+    out = reliability.dlq_health(s, ["source_id"], "us", per_minute=0.1, total=300)
+    return out.select("source_id", "us", "type", "severity", r6(F.col("current")).alias("current"))
+
+
 @query("""WITH RECURSIVE log AS (""" + LOG_SQL + """), o AS (SELECT id, source_id, us, row_number() OVER (PARTITION BY source_id ORDER BY us) AS i FROM log),
  b AS (SELECT id, source_id, us, i, CAST(1.0 AS DOUBLE) AS tokens, true AS allowed FROM o WHERE i = 1 UNION ALL SELECT o.id, o.source_id, o.us, o.i, least(2.0, b.tokens + (o.us - b.us) / 1e6 / 43200.0) - CASE WHEN least(2.0, b.tokens + (o.us - b.us) / 1e6 / 43200.0) >= 1 THEN 1 ELSE 0 END, least(2.0, b.tokens + (o.us - b.us) / 1e6 / 43200.0) >= 1 FROM b JOIN o ON o.source_id = b.source_id AND o.i = b.i + 1) SELECT id, allowed FROM b""")
 def l10_token_bucket(spark, d):

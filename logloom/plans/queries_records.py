@@ -279,6 +279,12 @@ def k11_error_classes(spark, d):
     return e.groupBy(routing.error_class(F.expr(_STATUS), F.expr(_BODY)).alias("class")).agg(F.count("*").alias("n"))
 
 
+@query(LOG + """SELECT id, CASE WHEN u > 95 THEN 'loki_queue_full' WHEN u > 90 AND w <= 1 OR u > 75 AND u <= 90 AND w <= 3 OR u <= 75 AND w <= 10 THEN 'sent' ELSE 'loki_timeout' END AS admission FROM (SELECT id, id % 101 AS u, CASE WHEN id % 7 > 0 THEN id % 13 END AS w FROM log)""")
+def k12_push_admission(spark, d):
+    wait = F.when(F.col("id") % 7 > 0, F.col("id") % 13)
+    return events_as_log(spark, d).select("id", routing.push_admission((F.col("id") % 101) / 100, wait).alias("admission"))
+
+
 @query(LOG + f"""SELECT {_ROUTED} AS topic, source_id AS key, message, source_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS at, level FROM log""")
 def k13_kafka_records(spark, d):
     e = events_as_log(spark, d).withColumn("timestamp", F.col("ts").cast("timestamp"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -38,17 +39,39 @@ def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], dead_letters: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Each micro-batch to every sink. A batch that a sink refuses goes to the dead letters with the sink and the error."""
+def deliver(batch: DataFrame, batch_id: int, sinks: dict[str, Callable[[DataFrame, int], None]], dead_letters: Callable[[DataFrame, int], None], retries: int = 3, base_s: float = 1.0) -> dict[str, str]:
+    """A batch to every sink; returns the sinks that never took it, with their errors.
+
+    When all sinks refuse it, it goes to the dead letters at once. When some do, these alone are tried again, after ``base_s``
+    seconds times the attempt, and the batch goes to the dead letters for those that still refuse it: one call, a row for each
+    record and sink. Sinks have to take a batch twice without harm (``parquet_sink`` replaces it).
+    """
+    left = dict(sinks)
+    for attempt in range(retries + 1):
+        if attempt:
+            time.sleep(attempt * base_s)
+        errors: dict[str, str] = {}
+        for name, write in left.items():
+            try:
+                write(batch, batch_id)
+            except Exception as error:  # a sink's failure must not stop the others
+                errors[name] = str(error)[:500]
+        left = {name: left[name] for name in errors}
+        if not left or len(left) == len(sinks):
+            break
+    if left:
+        failed = F.explode(F.array(*(F.struct(F.lit(name).alias("failed_sink"), F.lit(error).alias("error_message")) for name, error in errors.items())))
+        dead_letters(batch.select("*", failed.alias("__failed")).select(*(F.col(f"`{c}`") for c in batch.columns), "__failed.*"), batch_id)
+    return errors
+
+
+def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], dead_letters: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, retries: int = 3, base_s: float = 1.0) -> StreamingQuery:
+    """Each micro-batch to every sink, by ``deliver``: refused by some it is tried again, refused by all it is a dead letter."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            for name, write in sinks.items():
-                try:
-                    write(batch, batch_id)
-                except Exception as error:  # a sink's failure must not stop the others
-                    dead_letters(batch.withColumns({"failed_sink": F.lit(name), "error_message": F.lit(str(error)[:500])}), batch_id)
+            deliver(batch, batch_id, sinks, dead_letters, retries, base_s)
         finally:
             batch.unpersist()
 

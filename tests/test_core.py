@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logloom.functions import labels as lab
 from logloom.functions import layouts, redact, validate
 from logloom.functions.regex import re2
-from logloom.operators import anomaly, dedup, metrics, promql, reliability, sinks
+from logloom.operators import anomaly, dedup, metrics, promql, reliability, routing, sinks
 from logloom.plans import pipeline as pipe
 from logloom.sources import containers, files, stores, tail
 from logloom.streaming import processors, wiring
@@ -360,6 +360,64 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.parquet(out).count() == 12 and dead == [(12, "bad")]
 
 
+def test_outcomes_of_a_fan_out(spark):
+    """All refuse: dead letters at once. Some refuse: those alone again, and dead letters only when the attempts end."""
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    took, dead = [], []
+
+    def good(df, i):
+        took.append("good")
+
+    def late(df, i):
+        took.append("late")
+        if took.count("late") < 3:
+            raise RuntimeError("busy")
+
+    def broken(df, i):
+        took.append("broken")
+        raise RuntimeError("refused")
+
+    def letters(df, i):
+        dead.extend(sorted((r["k"], r["failed_sink"], r["error_message"]) for r in df.collect()))
+
+    assert wiring.deliver(rows, 0, {"good": good, "late": late}, letters, base_s=0) == {} and not dead
+    assert took == ["good", "late", "late", "late"]
+    took.clear()
+    assert wiring.deliver(rows, 1, {"good": good, "broken": broken}, letters, base_s=0) == {"broken": "refused"}
+    assert took == ["good"] + ["broken"] * 4 and dead == [("a", "broken", "refused"), ("b", "broken", "refused")]
+    took.clear()
+    dead.clear()
+    wiring.deliver(rows, 2, {"x": broken, "y": broken}, letters, base_s=0)
+    assert took == ["broken"] * 2 and [d[:2] for d in dead] == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
+
+
+def test_push_admission(spark):
+    cases = [(0.96, 0.0, "loki_queue_full"), (0.95, 1.0, "sent"), (0.95, 1.1, "loki_timeout"), (0.9, 3.0, "sent"), (0.76, 4.0, "loki_timeout"), (0.75, 10.0, "sent"), (0.1, 11.0, "loki_timeout"), (0.1, None, "loki_timeout"), (None, 5.0, "sent"), (0.0, 0.0, "sent")]
+    df = spark.createDataFrame(cases, "u double, w double, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", routing.push_admission(F.col("u"), F.col("w")).alias("got")).collect())
+
+
+def test_dead_letter_health(spark):
+    m = 60_000_000
+    s = spark.createDataFrame([("a", 0, 5, 2000, 3), ("a", m, 15, 0, 3), ("a", 2 * m, 26, 0, 4), ("a", 2 * m, 99_999, 0, 4), ("b", 9 * m, 0, 1000, 0)], "k string, us long, total_entries long, queue_size long, write_errors long")
+    got = sorted((r["k"], r["us"] // m, r["type"], r["current"]) for r in reliability.dlq_health(s.where("total_entries < 99999"), ["k"], "us").collect())
+    assert got == [("a", 0, "high_queue_size", 2000.0), ("a", 2, "high_entry_rate", 11.0), ("a", 2, "write_errors", 1.0)]
+    assert [r["type"] for r in reliability.dlq_health(s.where("total_entries = 99999"), ["k"], "us").collect()] == ["high_total_count"]
+
+
+def test_similar_entries(spark):
+    rows = [(i, i // 2, "f", "info" if i % 3 else "error", (i * 7 % 10) / 10.0, None if i == 5 else 0.5) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, timestamp long, source_type string, level string, v double, n double")
+    buffer = rows[20:]
+    got = {r["id"]: r["similar"] for r in anomaly.similar(df, df.where("id >= 20"), ["v", "n"]).collect()}
+    want = {}
+    for q in rows:
+        near = [b for b in buffer if b[2:4] == q[2:4] and b[0] != q[0] and q[5] is not None and (1 - abs(q[4] - b[4]) + 1 - abs(q[5] - b[5])) / 2 > 0.8]
+        if near:
+            want[q[0]] = [b[0] for b in sorted(near, key=lambda b: (-b[1], -b[0]))[:3]]
+    assert got == want and 5 not in got
+
+
 def test_windows_in_streams(spark, tmp_path):
     rows = spark.createDataFrame([("a", t * 60_000_000) for t in (0, 1, 2, 7, 30)], "k string, us long").withColumn("timestamp", F.timestamp_micros("us"))
     w = wiring.windowed_counts(stream_of(spark, rows, str(tmp_path / "in")), ["k"], late="0 minutes").writeStream.format("memory").queryName("wc").outputMode("append").trigger(availableNow=True).start()
