@@ -6,7 +6,7 @@ intersection has at least three quarters of the union's size.
 1. Documents with equal sets form a class (one key); one member stands for it.
 2. Shingles are ordered by (frequent, hash). Linked sets share one of their first n/4 + 1 shingles in any common
    order. Since the order is random among shingles that aren't frequent, the first K shingles already miss a link with
-   a chance below 2**-``certainty`` (K is 29 for 45 bits where no shingle is frequent, more where many are); the lesser
+   a chance below 2**-``certainty`` (K is 41 for 64 bits where no shingle is frequent, more where many are); the lesser
    of the two counts is sent, and with ``certainty=None`` always the exact one. Frequent shingles come last, so a passage that many documents share doesn't bring
    them together. The list of frequent shingles has a fixed greatest length; it only sets the order, so it can't cost a link.
    Sets that have their first common shingle at places i and j (from 0) share no more than the shingles from there on, so
@@ -44,7 +44,7 @@ from .components import connected_components
 
 #: Shingles that are ordered last as frequent: at most so many, found so often at least.
 FREQUENT, FREQUENT_AT = 200_000, 64
-CERTAINTY = 45
+CERTAINTY = 64
 #: Bytes of text that a task looks at together.
 GROUP_BYTES = 8 << 20
 #: Shingles of a bucket, keys of a part of a list, parts of a block, partners of a key in one task.

@@ -71,7 +71,7 @@ def components(data):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("certainty", [45, None])
+@pytest.mark.parametrize("certainty", [45, ngram_join.CERTAINTY, None])
 def test_ngram_join(spark, docs, certainty):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(docs, certainty).collect()}
     assert got == components(rows())
