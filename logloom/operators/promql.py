@@ -1,7 +1,7 @@
 """The windowed algebra of metric queries over rows (keys, time in microseconds, value).
 
 Windows are closed at both ends and not extrapolated: ``increase`` is the sum of the growth between samples inside the
-window, where a fall is a reset to zero. Divisions by zero give null.
+window, where a fall is a reset to zero. Divisions by zero give null, but in ``with_irate``.
 """
 
 from __future__ import annotations
@@ -64,12 +64,18 @@ def with_rate(df: DataFrame, keys: list[str], us: str, value: str, seconds: int
     return with_increase(df, keys, us, value, seconds, out).withColumn(out, F.col(out) / (float(seconds) if isinstance(seconds, int) else seconds.cast("double")))
 
 
-def with_irate(df: DataFrame, keys: list[str], us: str, value: str, seconds: int, out: str = "irate") -> DataFrame:
-    """Growth per second between the last two samples, if both lie in the window."""
-    by = Window.partitionBy(*keys).orderBy(us)
+def with_irate(df: DataFrame, keys: list[str], us: str, value: str, seconds: int, out: str = "irate", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Growth per second between the last two samples, if both lie in the window.
+
+    Samples of one time follow each other by ``ties``; between them the division by zero is that of floating-point numbers:
+    an infinite rate, NaN without growth.
+    """
+    by = Window.partitionBy(*keys).orderBy(us, *ties)
     prev, at = F.lag(value).over(by), F.lag(us).over(by)
-    grown = F.when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev)
-    return df.withColumn(out, F.when(F.col(us) - at <= seconds * US, F.try_divide(grown.cast("double"), (F.col(us) - at) / float(US))))
+    grown = F.when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev).cast("double")
+    passed = F.col(us) - at
+    at_once = F.when(grown == 0, float("nan")).otherwise(grown * float("inf"))
+    return df.withColumn(out, F.when(passed == 0, at_once).when(passed <= seconds * US, F.try_divide(grown, passed / float(US))))
 
 
 def with_deriv(df: DataFrame, keys: list[str], us: str, value: str, seconds: int | Column, out: str = "deriv") -> DataFrame:

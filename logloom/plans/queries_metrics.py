@@ -202,8 +202,8 @@ _SERIES = "SELECT event_type, us, id, value, CAST(row_number() OVER (PARTITION B
 
 
 def series(spark, d):
-    """A counter per event type that falls back to zero at every fiftieth event, and the events' values as a gauge."""
-    c = F.row_number().over(Window.partitionBy("event_type").orderBy("us")) % 50
+    """A counter per event type that falls back to zero at every fiftieth event (those of one time by id), and the events' values as a gauge."""
+    c = F.row_number().over(Window.partitionBy("event_type").orderBy("us", "id")) % 50
     return events_as_log(spark, d).select("event_type", "us", "id", "value", c.cast("double").alias("c"))
 
 
@@ -228,7 +228,7 @@ def q02_rate(spark, d):
 
 @query(LOG + f"SELECT id, CASE WHEN us - pu <= 21600000000 THEN round((CASE WHEN c < p THEN c ELSE c - p END) / ((us - pu) / 1e6), 6) END AS irate FROM (SELECT *, lag(c) OVER w AS p, lag(us) OVER w AS pu FROM ({_SERIES}) WINDOW w AS (PARTITION BY event_type ORDER BY us))")
 def q03_irate(spark, d):
-    return promql.with_irate(series(spark, d), ["event_type"], "us", "c", 21_600).select("id", r6(F.col("irate")).alias("irate"))
+    return promql.with_irate(series(spark, d), ["event_type"], "us", "c", 21_600, ties=("id",)).select("id", r6(F.col("irate")).alias("irate"))
 
 
 @query(LOG + f"SELECT id, inc AS increase FROM ({_INC})")

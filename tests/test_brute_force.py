@@ -3,6 +3,7 @@
 import math
 from collections import OrderedDict, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from logloom.operators import alerts, anomaly, dedup, promql, reliability, sinks
 from logloom.operators.sequences import running_order
 from logloom.plans import pipeline as pipe
 from logloom.plans.adapters import events_as_log
+from logloom.plans.queries import ORACLE, QUERIES
 from logloom.sources import tail
 from logloom.streaming import processors
 
@@ -176,6 +178,20 @@ def test_growth_with_ties_and_resets(spark):
     assert {r["us"] // US: r["deriv"] for r in sloped.collect() if r["us"] >= 20 * US} == {20: pytest.approx(-0.6), 31: pytest.approx(2 / 11), 100: None}
 
 
+def test_rate_between_samples_of_one_time(spark, sf, tmp_path):
+    rows = [("a", 0, 1, 5.0), ("a", 0, 2, 5.0), ("a", 0, 3, 7.0), ("a", 4 * US, 5, 9.0), ("a", 4 * US, 4, 8.0), ("a", 90 * US, 6, 9.0), ("b", 0, 7, 1.0), ("b", 0, 8, None)]
+    out = promql.with_irate(spark.createDataFrame(rows, "k string, us long, id long, value double"), ["k"], "us", "value", 60, ties=("id",))
+    assert {r["id"]: repr(r["irate"]) for r in out.collect()} == {1: "None", 2: "nan", 3: "inf", 4: "0.25", 5: "inf", 6: "None", 7: "None", 8: "None"}
+    duck = duckdb.connect()
+    duck.execute(f"copy (select * replace (event_id + 1000 * k as event_id) from '{sf}/events.parquet', range(3) t(k) order by event_id) to '{tmp_path}/events.parquet' (format parquet)")
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = sorted(repr(abs(x)) if x is not None else "None" for (x,) in duck.execute(f"select irate from ({ORACLE['q03_irate']})").fetchall())
+    got = QUERIES["q03_irate"](spark, str(tmp_path)).collect()
+    assert sorted(repr(r["irate"]) for r in got) == want and want.count("inf") > 100 and want.count("nan") > 10
+    finite = {r["id"] for r in got if r["irate"] is not None and math.isfinite(r["irate"])}
+    assert finite and max(finite) < 1000
+
+
 def test_stream_batches_hold_a_batch_at_most(spark):
     rows = spark.range(5000).select(F.timestamp_micros(F.col("id")).alias("timestamp"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("message"), F.create_map(F.lit("app"), F.lit("x")).alias("labels"))
     got = sinks.loki_streams(rows, batch=700).collect()
