@@ -130,22 +130,23 @@ class _Index(dict):
 
 
 class Predictor:
-    """Scores texts in a worker. The row of each word is found once and kept, up to ``limit`` words."""
+    """Scores texts in a worker. The row of each unseen word is found once and kept, up to ``limit`` of them beside those of the known words."""
 
     def __init__(self, model: dict, limit: int = 400_000):
         self.langs, self.limit = model["langs"], limit
         names, rows = model["logs"][0]
-        self.known = {w: i for i, w in enumerate(names)}
-        self.base = np.asarray(rows, np.float32)
+        self.index = _Index(zip(names, range(len(names)), strict=True))
+        self.index.add = self.add
+        self.known = self.used = len(names)
+        self.rows = np.zeros((self.known + 4096, len(self.langs)), np.float32)
+        self.rows[: self.known] = rows
         self.grams = [(k, {g: i for i, g in enumerate(model["logs"][k][0])}, model["logs"][k][1]) for k in GRAM_LENGTHS]
-        self.reset()
 
     def reset(self) -> None:
-        self.index = _Index(self.known)
-        self.index.add = self.add
-        self.rows = np.zeros((len(self.base) + 4096, len(self.langs)), np.float32)
-        self.rows[: len(self.base)] = self.base
-        self.used = len(self.base)
+        """Forgets the unseen words, which are the last of the index."""
+        for _ in range(self.used - self.known):
+            self.index.popitem()
+        self.used = self.known
 
     def unseen(self, word: str) -> np.ndarray:
         for k, index, rows in self.grams:
@@ -176,7 +177,7 @@ class Predictor:
 
     def total(self, words: list[str]) -> np.ndarray:
         """The sums of the words' rows."""
-        if self.used > self.limit:
+        if self.used - self.known > self.limit:
             self.reset()
         ids = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         return self.rows.take(ids, axis=0).sum(axis=0, dtype=np.float64)

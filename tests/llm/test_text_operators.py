@@ -649,6 +649,22 @@ def test_language_backoff_uses_shorter_grams():
     assert p.predict("known")[0] == "a" and p.predict("qzzq")[0] == "b" and p.predict("known qqq")[0] == "a"
 
 
+def test_language_model_of_more_words_than_the_limit():
+    rng = np.random.default_rng(3)
+    names = sorted(f"known{a}{b}" for a in WORDS for b in WORDS)
+    logs = {k: ([], np.zeros((0, 2), np.float32)) for k in language_id.GRAM_LENGTHS} | {0: (names, rng.normal(size=(len(names), 2)).astype(np.float32))}
+    logs[1] = (list("abcdef"), rng.normal(size=(6, 2)).astype(np.float32))
+    model = {"langs": ["a", "b"], "logs": logs}
+    small, large = language_id.Predictor(model, limit=20), language_id.Predictor(model)
+    found = []
+    small.unseen = lambda w: found.append(w) or language_id.Predictor.unseen(small, w)
+    few = [f"{names[i]} {'abcdef'[i % 6]}x {names[-i]}" for i in range(300)]
+    assert [small.predict(t) for t in few] == [large.predict(t) for t in few] and len(found) == 6
+    many = [f"{names[i]} {'abcdef'[i % 6]}{chr(97 + i // 26)}{chr(97 + i % 26)} {names[-i]}" for i in range(300)]
+    assert [small.predict(t) for t in many + few] == [large.predict(t) for t in many + few]
+    assert small.used <= len(names) + 22 and len(small.index) == small.used and large.used == len(names) + 306
+
+
 def test_quality_classifier_on_held_out_texts(spark, sf):
     docs, labels = (spark.read.parquet(sf.replace("0.001", "0.1") + f"/{t}.parquet") for t in ("documents", "labels"))
     got = quality_classifier.classify(docs, labels).join(labels, "doc_id").collect()
